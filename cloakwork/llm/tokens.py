@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,11 +19,14 @@ from . import wavelet
 from .common import map_batches, scratch_path, small_batches, staged, texts
 
 #: Fixed: how byte-level BPE of this family cuts a text before merging.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Letters and marks on which all Unicode versions agree; other texts go to the library whole.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-ſ]*")
-CACHE_PIECES = 300_000
-SHARD_TOKENS = 4_000_000
+#: Texts of these characters alone are cut here, with their letters and numbers spelt out; others go to the library whole.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡-ſ]*")
+LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+SPACED = re.compile(rf" [{LETTER}]+")
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+CACHE_PIECES = 700_000
+SHARD_TOKENS = 2_000_000
+_ENCODERS: dict[str, Encoder] = {}
 
 
 @dataclass(frozen=True)
@@ -44,7 +47,7 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """The library's ids.  Each distinct piece between merges is encoded once and remembered, boundedly."""
+    """The library's ids.  Merges never cross pieces, so each distinct piece is encoded once and kept in a table."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -52,29 +55,80 @@ class Encoder:
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not (spec.get("model") or {}).get("dropout")
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.first, self.length, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16), 0
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 3 * len(x) // 2) - len(x), x.dtype)])
+
+    def _learn(self, pieces: list[str]) -> None:
+        pieces.sort(key=lambda p: SPACED.fullmatch(p) is None)
+        spaced = sum(SPACED.fullmatch(p) is not None for p in pieces)
+        for at, end in [(i, min(i + 4096, spaced)) for i in range(0, spaced, 4096)] + [(i, i + 4096) for i in range(spaced, len(pieces), 4096)]:
+            part = pieces[at:end]
+            plain = [p for p in part if SPACED.fullmatch(p)]
+            if len(plain) == len(part):  # words that each begin with a space stay apart when run together
+                e = self.library.encode("".join(part), add_special_tokens=False)
+                flat, length = np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+            else:
+                got = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
+                length = np.fromiter(map(len, got), np.int64, len(got))
+                flat = np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum()))
+            n = len(self.seen)
+            if self.ids.dtype == np.uint16 and len(flat) and flat.max() > 0xFFFF:
+                self.ids = self.ids.astype(np.uint32)
+            self.first, self.length = self._room(self.first, n + len(part)), self._room(self.length, n + len(part))
+            self.ids = self._room(self.ids, self.used + len(flat))
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.length[n : n + len(part)] = length
+            self.first[n : n + len(part)] = self.used + np.cumsum(length) - length
+            self.used += len(flat)
+            self.seen.update(zip(part, range(n, n + len(part))))
 
     def __call__(self, text: str) -> np.ndarray:
-        if not self.by_piece or not PLAIN.fullmatch(text) or any(x in text for x in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        seen, pieces = self.seen, PIECE.findall(text)
-        try:
-            got = [seen[p] for p in pieces]
-        except KeyError:
-            if len(seen) > CACHE_PIECES:
-                seen.clear()
-            new = [p for p in set(pieces) if p not in seen]
-            for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                seen[p] = tuple(e.ids)
-            got = [seen[p] for p in pieces]
-        return np.fromiter(chain.from_iterable(got), np.uint32)
+        return self.many([text])[0]
+
+    def many(self, batch: list[str]) -> list[np.ndarray]:
+        """Ids of each text of a batch."""
+        whole = [not self.by_piece or not PLAIN.fullmatch(t) or any(x in t for x in self.special) for t in batch]
+        pieces = [[] if w else PIECE.findall(t) for t, w in zip(batch, whole)]
+        if len(self.seen) > CACHE_PIECES:
+            self._empty()
+        count, every = [len(p) for p in pieces], list(chain.from_iterable(pieces))
+        at = np.fromiter(map(self.seen.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [every[i] for i in missing.tolist()]
+            self._learn(list(set(new)))
+            at[missing] = np.fromiter(map(self.seen.__getitem__, new), np.int64, len(new))
+        length = self.length[at]
+        upto = np.cumsum(length)
+        flat = self.ids[np.repeat(self.first[at] - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.concatenate([[0], upto])[np.cumsum(count)] if count else []
+        out, start = [], 0
+        for t, w, end in zip(batch, whole, ends):
+            out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if w else flat[start:end])
+            start = end
+        return out
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process, kept between its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], folder: str, s: Settings) -> Iterator[pa.RecordBatch]:
     """Writes shards; yields (part, number, path, n_docs, n_tokens).  A retried task writes files of new names."""
     from pyspark import TaskContext
 
-    part, encode = TaskContext.get().partitionId(), Encoder(s.tokenizer)
+    part, encode = TaskContext.get().partitionId(), encoder(s.tokenizer)
     ids, docs, held, number, attempt = [], [], 0, 0, uuid.uuid4().hex[:10]
 
     def close() -> pa.RecordBatch:
@@ -86,13 +140,14 @@ def _shards(batches: Iterator[pa.RecordBatch], folder: str, s: Settings) -> Iter
         return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1], pa.int32()), pa.array(row[2]), pa.array(row[3], pa.int64()), pa.array(row[4], pa.int64())], ["part", "number", "path", "n_docs", "n_tokens"])
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text"), strict=True):
-            got = encode(text)
-            ids += [got, np.array([s.end], np.uint32)]
-            docs.append((doc_id, len(got) + 1))
-            held += len(got) + 1
-            if held >= s.shard_tokens:
-                yield close()
+        for at in range(0, len(batch), 128):
+            piece = batch.slice(at, 128)
+            for doc_id, got in zip(piece.column("doc_id").to_pylist(), encode.many(texts(piece, "text")), strict=True):
+                ids += [got, np.array([s.end], got.dtype if s.end < 1 << 16 else np.uint32)]
+                docs.append((doc_id, len(got) + 1))
+                held += len(got) + 1
+                if held >= s.shard_tokens:
+                    yield close()
     if docs:
         yield close()
 

@@ -2,8 +2,8 @@
 
 File: magic, a JSON header's length, the header, then chunks.  A bit-plane holds, for each place of
 the sequence as the planes above have sorted it, one bit of the id, highest first.  Planes are cut
-into chunks, packed and deflated each on its own, with the ones before each chunk in the header's
-directory; so a lookup inflates one chunk of each plane.
+into chunks, packed and compressed each on its own, with the ones before each chunk in the header's
+directory; so a lookup unpacks one chunk of each plane.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs as pafs
 
 MAGIC = b"CWWM0001"
@@ -100,12 +101,13 @@ class Planes:
 
     def decode(self) -> np.ndarray:
         """The whole sequence: the planes undone from the last to the first."""
-        ids = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
         for p in reversed(range(self.width)):
             bits = self.plane(p).view(bool)
             out = np.empty_like(ids)
             out[~bits] = ids[: self.zeros[p]]
-            out[bits] = ids[self.zeros[p] :] | np.uint32(1 << (self.width - 1 - p))
+            out[bits] = ids[self.zeros[p] :] | kind(1 << (self.width - 1 - p))
             ids = out
         return ids
 
@@ -123,7 +125,7 @@ def encode(ids: np.ndarray, documents: list[tuple[int | None, int]]) -> bytes:
         packed = np.packbits(is_one)
         for c in range(0, n, CHUNK_BITS):
             raw = packed[c // 8 : (c + CHUNK_BITS) // 8]
-            data = zlib.compress(raw.tobytes(), 1)
+            data = zstandard.compress(raw.tobytes(), 1)
             row.append((at, len(data), ones))
             body.append(data)
             at, ones = at + len(data), ones + int(np.bitwise_count(raw).sum())
@@ -144,7 +146,7 @@ def decode_file(blob: bytes | memoryview) -> tuple[Planes, list[tuple[int | None
 
     def chunk(p: int, c: int) -> tuple[int, np.ndarray]:
         at, size, ones = head["chunks"][p][c]
-        return ones, np.frombuffer(zlib.decompress(data[at : at + size]), np.uint8)
+        return ones, np.frombuffer(zstandard.decompress(data[at : at + size]), np.uint8)
 
     return Planes(head["n"], head["width"], head["zeros"], chunk), [tuple(x) for x in head["docs"]]
 
