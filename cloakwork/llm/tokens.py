@@ -24,7 +24,7 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡-ſ]*")
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 SPACED = re.compile(rf" [{LETTER}]+")
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_200_000
 SHARD_TOKENS = 2_000_000
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -55,6 +55,9 @@ class Encoder:
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not (spec.get("model") or {}).get("dropout")
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self._empty()
 
     def _empty(self) -> None:
@@ -72,8 +75,8 @@ class Encoder:
             part = pieces[at:end]
             plain = [p for p in part if SPACED.fullmatch(p)]
             if len(plain) == len(part):  # words that each begin with a space stay apart when run together
-                e = self.library.encode("".join(part), add_special_tokens=False)
-                flat, length = np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+                flat = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                length = np.diff(np.append(np.flatnonzero(self.opens[flat]), len(flat)))  # a word's first id, and no other, begins with the space
             else:
                 got = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
                 length = np.fromiter(map(len, got), np.int64, len(got))
