@@ -7,24 +7,23 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import wavelet
-from .common import map_batches, scratch_path, small_batches, staged, texts
-
-#: Fixed: how byte-level BPE of this family cuts a text before merging.
-#: Texts of these characters alone are cut here, with their letters and numbers spelt out; others go to the library whole.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡-ſ]*")
-LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
-SPACED = re.compile(rf" [{LETTER}]+")
-PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
-CACHE_PIECES = 1_200_000
+from .common import map_batches, scratch_path, small_batches, staged
+
+#: Texts of these characters, with no two white spaces in a row, are cut before each space and line end, places
+#: that byte-level BPE of this family never merges across.  Texts that match this go to the library whole.
+ODD = r"[^\n\x20-\x7E\x{A1}-\x{17F}]|[\n ][\n ]"
+FIRST = "\x00"  # marks the first unit of a text: no space stands before it
+CACHE_UNITS, ENCODE_BYTES = 1_500_000, 10 << 20
 SHARD_TOKENS = 2_000_000
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -47,41 +46,47 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """The library's ids.  Merges never cross pieces, so each distinct piece is encoded once and kept in a table."""
+    """The library's ids.  Merges never cross units, so each distinct unit is encoded once and kept in a table."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         spec = json.loads(self.library.to_str())
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not (spec.get("model") or {}).get("dropout")
+        self.by_unit = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not (spec.get("model") or {}).get("dropout")
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.opens[[i for t, i in vocabulary.items() if t[:1] in ("Ġ", "Ċ")]] = True
+        self.odd = "|".join([ODD, *(re.escape(x) for x in self.special)])
         self._empty()
 
     def _empty(self) -> None:
-        self.seen: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.first, self.length, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16), 0
 
     @staticmethod
     def _room(x: np.ndarray, n: int) -> np.ndarray:
         return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 3 * len(x) // 2) - len(x), x.dtype)])
 
-    def _learn(self, pieces: list[str]) -> None:
-        pieces.sort(key=lambda p: SPACED.fullmatch(p) is None)
-        spaced = sum(SPACED.fullmatch(p) is not None for p in pieces)
-        for at, end in [(i, min(i + 4096, spaced)) for i in range(0, spaced, 4096)] + [(i, i + 4096) for i in range(spaced, len(pieces), 4096)]:
-            part = pieces[at:end]
-            plain = [p for p in part if SPACED.fullmatch(p)]
-            if len(plain) == len(part):  # words that each begin with a space stay apart when run together
-                flat = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-                length = np.diff(np.append(np.flatnonzero(self.opens[flat]), len(flat)))  # a word's first id, and no other, begins with the space
+    def _learn(self, keys: list[str]) -> None:
+        """Units with a space or line end before them are run together: an id that opens so begins the next unit."""
+        keys.sort(key=lambda k: k[:1] == FIRST)
+        joined = sum(k[:1] != FIRST for k in keys)
+        for at, end in [(i, min(i + 8192, joined)) for i in range(0, joined, 8192)] + [(i, i + 8192) for i in range(joined, len(keys), 8192)]:
+            part = keys[at:end]
+            if at < joined:
+                text = "".join(k if k[:1] == "\n" else " " + k for k in part if k)
+                flat = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                length = np.diff(np.append(np.flatnonzero(self.opens[flat]), len(flat)))
+                if "" in part:  # a space that ends a text
+                    alone, i = self.library.encode(" ", add_special_tokens=False).ids, part.index("")
+                    before = int(length[:i].sum())
+                    flat, length = np.concatenate([flat[:before], alone, flat[before:]]).astype(np.uint32), np.insert(length, i, len(alone))
             else:
-                got = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
+                got = [e.ids for e in self.library.encode_batch([k[1:] for k in part], add_special_tokens=False)]
                 length = np.fromiter(map(len, got), np.int64, len(got))
                 flat = np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum()))
-            n = len(self.seen)
+            n = len(self.known)
             if self.ids.dtype == np.uint16 and len(flat) and flat.max() > 0xFFFF:
                 self.ids = self.ids.astype(np.uint32)
             self.first, self.length = self._room(self.first, n + len(part)), self._room(self.length, n + len(part))
@@ -90,32 +95,49 @@ class Encoder:
             self.length[n : n + len(part)] = length
             self.first[n : n + len(part)] = self.used + np.cumsum(length) - length
             self.used += len(flat)
-            self.seen.update(zip(part, range(n, n + len(part))))
+            self.known = pa.concat_arrays([self.known, pa.array(part, pa.string())])
+
+    def _find(self, keys: pa.Array) -> np.ndarray:
+        """Places of the keys in the table; new ones are learned first."""
+        at = pc.index_in(keys, value_set=self.known)
+        new = keys.filter(at.is_null())
+        if not len(new):
+            return at.to_numpy().astype(np.int64)
+        self._learn(pc.unique(new).to_pylist())
+        fresh = self.known.slice(len(self.known) - len(pc.unique(new)))
+        later = pc.add(pc.index_in(keys, value_set=fresh), pa.scalar(len(self.known) - len(fresh), pa.int32()))
+        return pc.coalesce(at, later).to_numpy().astype(np.int64)
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.many([text])[0]
+        return self.many(pa.array([text]))[0]
 
-    def many(self, batch: list[str]) -> list[np.ndarray]:
-        """Ids of each text of a batch."""
-        whole = [not self.by_piece or not PLAIN.fullmatch(t) or any(x in t for x in self.special) for t in batch]
-        pieces = [[] if w else PIECE.findall(t) for t, w in zip(batch, whole)]
-        if len(self.seen) > CACHE_PIECES:
+    def many(self, batch: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of an Arrow array without nulls."""
+        if len(self.known) > CACHE_UNITS:
             self._empty()
-        count, every = [len(p) for p in pieces], list(chain.from_iterable(pieces))
-        at = np.fromiter(map(self.seen.get, every, repeat(-1)), np.int64, len(every))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = [every[i] for i in missing.tolist()]
-            self._learn(list(set(new)))
-            at[missing] = np.fromiter(map(self.seen.__getitem__, new), np.int64, len(new))
+        whole = pc.match_substring_regex(batch, self.odd).to_numpy(zero_copy_only=False) if self.by_unit else np.ones(len(batch), bool)
+        plain = batch.filter(pa.array(~whole))
+        units = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        edges = units.offsets.to_numpy()
+        folded = units.flatten().dictionary_encode()
+        kinds, of = folded.dictionary, folded.indices.to_numpy()
+        leads = edges[:-1] - edges[0]
+        marked = pc.binary_join_element_wise(FIRST, kinds.take(pa.array(of[leads])), "")
+        found = self._find(pa.concat_arrays([kinds, marked]))
+        at = found[of]
+        at[leads] = found[len(kinds) :]
         length = self.length[at]
         upto = np.cumsum(length)
         flat = self.ids[np.repeat(self.first[at] - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = np.concatenate([[0], upto])[np.cumsum(count)] if count else []
+        ends = iter(np.concatenate([[0], upto])[edges[1:] - edges[0]].tolist())
         out, start = [], 0
-        for t, w, end in zip(batch, whole, ends):
-            out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if w else flat[start:end])
-            start = end
+        for i, w in enumerate(whole.tolist()):
+            if w:
+                out.append(np.array(self.library.encode(batch[i].as_py(), add_special_tokens=False).ids, np.uint32))
+            else:
+                end = next(ends)
+                out.append(flat[start:end])
+                start = end
         return out
 
 
@@ -127,6 +149,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ENCODE_BYTES of text: the unit table is hashed once for each."""
+    held, size = [], 0
+    for batch in batches:
+        for at in range(0, len(batch), 128):
+            held.append(batch.slice(at, 128))
+            size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
+            if size >= ENCODE_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _shards(batches: Iterator[pa.RecordBatch], folder: str, s: Settings) -> Iterator[pa.RecordBatch]:
     """Writes shards; yields (part, number, path, n_docs, n_tokens).  A retried task writes files of new names."""
     from pyspark import TaskContext
@@ -142,15 +178,13 @@ def _shards(batches: Iterator[pa.RecordBatch], folder: str, s: Settings) -> Iter
         ids, docs, held, number = [], [], 0, number + 1
         return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1], pa.int32()), pa.array(row[2]), pa.array(row[3], pa.int64()), pa.array(row[4], pa.int64())], ["part", "number", "path", "n_docs", "n_tokens"])
 
-    for batch in batches:
-        for at in range(0, len(batch), 128):
-            piece = batch.slice(at, 128)
-            for doc_id, got in zip(piece.column("doc_id").to_pylist(), encode.many(texts(piece, "text")), strict=True):
-                ids += [got, np.array([s.end], got.dtype if s.end < 1 << 16 else np.uint32)]
-                docs.append((doc_id, len(got) + 1))
-                held += len(got) + 1
-                if held >= s.shard_tokens:
-                    yield close()
+    for piece in _gathered(batches):
+        for doc_id, got in zip(piece.column("doc_id").to_pylist(), encode.many(pc.fill_null(piece.column("text"), "")), strict=True):
+            ids += [got, np.array([s.end], got.dtype if s.end < 1 << 16 else np.uint32)]
+            docs.append((doc_id, len(got) + 1))
+            held += len(got) + 1
+            if held >= s.shard_tokens:
+                yield close()
     if docs:
         yield close()
 
