@@ -26,20 +26,20 @@ class Bits:
 
 
 def order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols, by doubling; the end sorts first."""
+    """Suffixes sorted by their first ``depth`` symbols, by doubling; the end sorts first, equal ones come in any order."""
     rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
     known, n = 1, len(symbols)
     while True:
         tail = np.concatenate([rank[known:], np.zeros(min(known, n), np.int64)])[:n] if known < depth else np.zeros(n, np.int64)
         key = rank * (n + 2) + tail
-        at = np.argsort(key, kind="stable")
+        at = np.argsort(key)
         if known >= depth:
             return at
         new = np.empty(n, np.int64)
         new[at] = np.cumsum(np.concatenate([[1], (np.diff(key[at]) != 0).astype(np.int64)]))
         rank, known = new, 2 * known
         if rank.max() == n:
-            return np.argsort(rank, kind="stable")
+            return np.argsort(rank)
 
 
 class Index:

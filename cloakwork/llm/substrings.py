@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from .common import forget, map_batches, mix64, staged, texts
 from .fmindex import Index
 
-CACHE_WORDS = 500_000
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -42,31 +40,68 @@ def split(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-class Segments:
-    """Segments of a text: (start, windows, minimizer) as arrays."""
-
-    def __init__(self, s: Settings):
-        self.s, self.seen = s, {}
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        s, n = self.s, len(words) - self.s.window + 1
-        if n < 1:
-            return (np.zeros(0, np.int64),) * 3
-        seen = self.seen
-        if len(seen) > CACHE_WORDS:
-            seen.clear()
-        try:
-            ids = [seen[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in seen:
-                    seen[w] = xxhash.xxh64_intdigest(w)
-            ids = [seen[w] for w in words]
-        h = np.array(ids, np.uint64)
-        grams = np.zeros(len(h) - s.gram + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(s.gram):
-                grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[i : len(grams) + i]
+#: Odd multipliers, each with its inverse modulo 2^64.
+FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
+INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+PIECE_BYTES = 4 << 20
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words in a buffer: where each starts, and two hashes of its bytes.  Long buffers go in pieces cut at white space."""
+    found, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + PIECE_BYTES)
+        while end < len(data) and not SPACE[data[end]]:
+            end += 1
+        space = SPACE[data[at:end]]
+        edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if len(first):
+            letters, length = data[at:end][~space].astype(np.uint64) + np.uint64(1), last - first
+            off = np.cumsum(length) - length
+            pos = np.arange(len(letters)) - np.repeat(off, length)
+            found.append((first + at, *(np.add.reduceat(letters * _powers(f, int(length.max()))[pos], off) for f in FACTORS[:2])))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
+def _groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Texts of an Arrow column in groups of about PIECE_BYTES: first row, bytes with a space after each text, text ends."""
+    rows, size, first = [], 0, 0
+    for i, x in enumerate(column.cast(pa.binary()).to_pylist()):
+        rows.append(x or b"")
+        size += len(rows[-1]) + 1
+        if size >= PIECE_BYTES:
+            yield first, np.frombuffer(b" ".join(rows) + b" ", np.uint8), np.cumsum([len(r) + 1 for r in rows])
+            rows, size, first = [], 0, i + 1
+    if rows:
+        yield first, np.frombuffer(b" ".join(rows) + b" ", np.uint8), np.cumsum([len(r) + 1 for r in rows])
+
+
+def segments(data: np.ndarray, ends: np.ndarray, s: Settings, contents: bool) -> tuple[np.ndarray, ...]:
+    """Segments of a group of texts: minimizer, hash of the words, text, first window, windows.
+
+    Equal words have equal hashes, so equal windows have equal minimizers; a clash only sends more to one place.
+    Segments count as equal by both 64-bit hashes, which come from two hashes of the words.
+    """
+    first, one, two = hashes(data)
+    n = len(first) - s.window + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 5
+    doc = np.searchsorted(ends, first, "right")
+    base = np.searchsorted(doc, np.arange(len(ends)))
+    with np.errstate(over="ignore"):
+        word, grams = mix64(one), np.zeros(len(first) - s.gram + 1, np.uint64)
+        for i in range(s.gram):
+            grams = grams * FACTORS[0] + word[i : len(grams) + i]
         low, have, want = mix64(grams), 1, s.window - s.gram + 1
         place = np.arange(len(low))
         while have < want:  # minima of doubling ranges, the leftmost among equals
@@ -74,41 +109,32 @@ class Segments:
             right = low[step:] < low[: len(low) - step]
             low, place = np.where(right, low[step:], low[: len(low) - step]), np.where(right, place[step:], place[: len(place) - step])
             have += step
-        new = np.concatenate([[True], place[1:] != place[:-1]])
-        start = np.flatnonzero(new)
-        run = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-        start = np.flatnonzero(run % s.segment == 0)
-        return start, np.diff(np.append(start, n)), low[start].view(np.int64)
+        inside = np.flatnonzero(doc[:n] == doc[s.window - 1 :])
+        if not len(inside):
+            return (np.zeros(0, np.int64),) * 5
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(place[inside]) != 0) | (np.diff(doc[inside]) != 0)]))
+        run = np.arange(len(inside)) - np.repeat(new, np.diff(np.append(new, len(inside))))
+        new = np.flatnonzero(run % s.segment == 0)
+        start, count = inside[new], np.diff(np.append(new, len(inside)))
+        same = np.zeros(0, np.int64)
+        if contents:
+            upto = np.concatenate([[np.uint64(0)], np.cumsum(mix64(two) * _powers(FACTORS[2], len(two)), dtype=np.uint64)])
+            same = mix64((upto[start + count + s.window - 1] - upto[start]) * _powers(INVERSE, len(two))[start] + count.astype(np.uint64)).view(np.int64)
+    return low[start].view(np.int64), same, doc[start], start - base[doc[start]], count
 
 
 def _minimizers(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    cut = Segments(s)
     for batch in batches:
-        got = [cut(split(t))[2] for t in texts(batch, "text")]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))], ["mh"])
+        for _, data, ends in _groups(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([pa.array(segments(data, ends, s, False)[0])], ["mh"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    cut, names = Segments(s), ["mh", "sh", "doc_id", "th", "at", "n"]
     for batch in batches:
-        cols: list[list] = [[] for _ in names]
-        for doc_id, th, text in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), texts(batch, "text"), strict=True):
-            words = split(text)
-            start, n, mh = cut(words)
-            if not len(start):
-                continue
-            line = b" ".join(words)
-            at = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
-            a, b = at[start].tolist(), (at[start + n + s.window - 1] - 1).tolist()
-            cols[0].append(mh)
-            cols[1].append(np.array([xxhash.xxh64_intdigest(line[i:j]) for i, j in zip(a, b)], np.uint64).view(np.int64))
-            cols[2] += [doc_id] * len(start)
-            cols[3].append(np.full(len(start), th))
-            cols[4].append(start)
-            cols[5].append(n)
-        if cols[0]:
-            joined = {i: np.concatenate(cols[i]) for i in (0, 1, 3, 4, 5)}
-            yield pa.RecordBatch.from_arrays([pa.array(joined[0]), pa.array(joined[1]), pa.array(cols[2], pa.int64()), pa.array(joined[3]), pa.array(joined[4].astype(np.int32)), pa.array(joined[5].astype(np.int32))], names)
+        for row, data, ends in _groups(batch.column("text")):
+            mh, sh, doc, at, n = segments(data, ends, s, True)
+            of = pa.array(doc + row)
+            yield pa.RecordBatch.from_arrays([pa.array(mh), pa.array(sh), batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["mh", "sh", "doc_id", "th", "at", "n"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
