@@ -5,15 +5,235 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import checks
+from ..functions.dialect import DUCK, SPARK
+from ..functions.keys import hmac_hex, tenant_key
+from ..operators import recognizers as R
+from ..operators import rewrite as W
+
+#: A fixed key, so that keyed results can be compared; real keys come from the caller.
+KEY = tenant_key(bytes(range(32)), b"salt", "acme")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def _num(x: str, width: int) -> str:
+    return f"lpad(cast({x} as varchar(30)), {width}, '0')"
+
+
+K = "cast(o_orderkey as bigint)"
+#: Texts that hold identifiers, right and wrong ones, made of order keys in either dialect.
+SYNTH = f"""
+    SELECT 1000000000 + {K} AS doc_id, cast(o_custkey as bigint) AS session, CASE cast({K} % 17 as int)
+      WHEN 0 THEN 'mail user' || {_num(f'{K} % 50', 2)} || '.x@mail.example.com, 电话 138' || {_num(f'{K} * 37 % 100000000', 8)} || ' ok'
+      WHEN 1 THEN 'card 4' || {_num(f'{K} * 7919 % 1000000', 14)} || cast({K} % 10 as varchar(2)) || '; IP 1.2.3.4'
+      WHEN 2 THEN '银行卡 4111 1111 1111 ' || {_num(f'{K} % 10000', 4)} || ' é'
+      WHEN 3 THEN '身份证 11010519' || {_num(f'{K} % 100', 2)} || {_num(f'{K} % 13', 2)} || {_num(f'{K} % 33', 2)} || {_num(f'{K} % 1000', 3)} || substr('0123456789X', cast({K} % 11 as int) + 1, 1)
+      WHEN 4 THEN 'iban DE' || {_num(f'{K} % 100', 2)} || {_num(f'{K} * 7919 % 1000000', 18)} || '.'
+      WHEN 5 THEN 'call +49 ' || {_num(f'{K} * 31', 9)} || ' or 010-' || {_num(K, 8)}
+      WHEN 6 THEN 'server 10.' || cast({K} % 300 as varchar(5)) || '.0.' || cast({K} % 256 as varchar(5)) || ' runs it'
+      WHEN 7 THEN 'sk-' || {_num(K, 20)} || ' AKIA' || {_num(K, 16)} || ' ghp_' || {_num(K, 22)}
+      WHEN 8 THEN 'eyJ' || {_num(K, 12)} || '.' || {_num(K, 12)} || '.' || {_num(K, 12)} || ' 😀 x@y.com'
+      WHEN 9 THEN 'code 91350100M' || {_num(f'{K} * 13 % 100000000', 8)} || substr('{checks.USCC_ALPHABET}', cast({K} % 31 as int) + 1, 1)
+      WHEN 10 THEN '护照 E' || {_num(K, 8)} || ' 车 京A' || {_num(f'{K} % 100000', 5)}
+      WHEN 11 THEN 'steuer ' || {_num(f'12345678000 + {K} * 7919 % 1000000', 11)} || ' 税号'
+      WHEN 12 THEN 'vat DE' || {_num(K, 9)} || ' partita iva ' || {_num(f'{K} * 7919', 11)}
+      WHEN 13 THEN 'dni ' || {_num(f'{K} * 31 % 100000000', 8)} || substr('{checks.DNI_LETTERS}', cast({K} * 31 % 23 as int) + 1, 1) || ' 😀 é X' || {_num(f'{K} % 10000000', 7)} || 'Q'
+      WHEN 14 THEN 'cf RSSMRA' || {_num(f'{K} % 100', 2)} || 'A' || {_num(f'{K} % 31', 2)} || 'H' || {_num(f'{K} % 1000', 3)} || substr('{checks.LETTERS}', cast({K} % 26 as int) + 1, 1)
+      WHEN 15 THEN 'ssn ' || {_num(f'{K} % 1000', 3)} || '-' || {_num(f'{K} % 100', 2)} || '-' || {_num(f'{K} % 10000', 4)}
+      ELSE '1990-02-03 and 4111111111111111 with 13812345678, token ' || {_num(K, 40)} END AS text
+    FROM orders"""
+ALL_TEXTS = f"SELECT doc_id, text FROM ({SYNTH}) UNION ALL SELECT doc_id, text FROM documents"
+EVERY = list(R.BUILT_IN)
+MAIN = [r for r in EVERY if r.name in ("email", "bank_card_plain", "bank_card_grouped", "ipv4", "cn_mobile")]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """SQL over the tables of a folder; nothing is registered in the session."""
+    import re
+
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    for t in used:
+        sql = re.sub(rf"(?i)(\b(?:from|join)\s+){t}\b", rf"\1{{{t}}}", sql)
+    doubled = re.sub(r"\{(?!(?:" + "|".join(TABLES) + r")\})", "{{", sql)
+    doubled = re.sub(r"(?<!" + r")(?<!".join("{" + t for t in TABLES) + r")\}", "}}", doubled)
+    return spark.sql(doubled, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+
+def both(name: str, sql: Callable | str) -> None:
+    """A query whose text is the same in both dialects, or a function of the dialect."""
+    text = sql if callable(sql) else lambda d: sql
+    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, text(SPARK))
+    ORACLE[name] = text(DUCK)
+
+
+def frame(name: str, make: Callable[[SparkSession, str], DataFrame], oracle: str | None) -> None:
+    QUERIES[name] = make
+    if oracle:
+        ORACLE[name] = oracle
+
+
+# Recognisers, alone and together -------------------------------------------------------------
+for _r in (*EVERY, R.TENANT_RULE):
+    frame(f"recognize_{_r.name}", lambda spark, d, r=_r: R.recognize(run(spark, d, ALL_TEXTS), r), R.recognize_sql(ALL_TEXTS, _r))
+frame("no_prefilter_email", lambda spark, d: R.recognize(run(spark, d, ALL_TEXTS), R.without_prefilter(EVERY[0])), R.recognize_sql(ALL_TEXTS, EVERY[0]))
+frame("detect_min_confidence", lambda spark, d: R.detect(run(spark, d, ALL_TEXTS), MAIN, 0.85), R.detect_sql(ALL_TEXTS, MAIN, 0.85))
+frame("resolve_overlaps", lambda spark, d: R.resolve_overlaps(R.detect(run(spark, d, ALL_TEXTS), EVERY)), R.resolve_overlaps_sql(R.detect_sql(ALL_TEXTS, EVERY)))
+_count = "SELECT type, detector, cast(count(*) as bigint) AS n, cast(count(DISTINCT doc_id) as bigint) AS n_docs FROM ({}) GROUP BY type, detector"
+frame("counts_by_recognizer", lambda spark, d: R.detect(run(spark, d, ALL_TEXTS), EVERY).groupBy("type", "detector").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")), _count.format(R.detect_sql(ALL_TEXTS, EVERY)))
+frame("type_allow_list", lambda spark, d: R.detect(run(spark, d, ALL_TEXTS), EVERY).filter(F.col("type").isin("EMAIL", "IP")), f"SELECT * FROM ({R.detect_sql(ALL_TEXTS, EVERY)}) WHERE type IN ('EMAIL', 'IP')")
+_de = R.load("de", disabled=("USCC",))
+frame("pack_de_without_uscc", lambda spark, d: R.detect(run(spark, d, ALL_TEXTS), _de), R.detect_sql(ALL_TEXTS, _de))
+_names = ", ".join(f"('{r.name}', '{r.type}')" for r in EVERY)
+frame(
+    "never_fired",
+    lambda spark, d: run(spark, d, f"SELECT * FROM (VALUES {_names}) t(detector, type)").join(R.detect(run(spark, d, "SELECT doc_id, text FROM documents"), EVERY), "detector", "left_anti"),
+    f"SELECT detector, type FROM (VALUES {_names}) t(detector, type) WHERE detector NOT IN (SELECT detector FROM ({R.detect_sql('SELECT doc_id, text FROM documents', EVERY)}))",
+)
+frame("coverage_gaps", lambda spark, d: run(spark, d, "SELECT * FROM (VALUES ('NAME'), ('ADDRESS'), ('ORG'), ('EMAIL')) t(type)").join(R.detect(run(spark, d, ALL_TEXTS), EVERY), "type", "left_anti"), f"SELECT type FROM (VALUES ('NAME'), ('ADDRESS'), ('ORG'), ('EMAIL')) t(type) WHERE type NOT IN (SELECT type FROM ({R.detect_sql(ALL_TEXTS, EVERY)}))")
+_amb = "case when type in ('BANK_CARD', 'IBAN', 'ID_CARD', 'USCC', 'EMAIL', 'CREDENTIAL') then 'direct' when type in ('ADDRESS', 'ORG', 'NAME', 'ACCOUNT') then 'verify' when confidence < 0.75 then 'verify' else 'direct' end"
+frame("ambiguity_partition", lambda spark, d: R.detect(run(spark, d, ALL_TEXTS), EVERY).select("doc_id", "type", "start", F.expr(_amb).alias("route")), f"SELECT doc_id, type, start, {_amb} AS route FROM ({R.detect_sql(ALL_TEXTS, EVERY)})")
+
+# Check digits --------------------------------------------------------------------------------
+_samples = {
+    "luhn": f"'4' || {_num(f'{K} * 7919 % 1000000', 14)} || cast({K} % 10 as varchar(2))",
+    "card": f"substr('4536', cast({K} % 4 as int) + 1, 1) || {_num(f'{K} * 104729 % 1000000000', 14)} || cast({K} % 10 as varchar(2))",
+    "card_luhn": f"{_num(f'{K} * 104729 % 1000000000', 13)}",
+    "cn_id": f"'11010519' || {_num(f'{K} % 100', 2)} || {_num(f'{K} % 14', 2)} || {_num(f'{K} % 33', 2)} || {_num(f'{K} % 1000', 3)} || substr('0123456789Xx', cast({K} % 12 as int) + 1, 1)",
+    "uscc": f"'91350100M' || {_num(f'{K} * 13 % 100000000', 8)} || substr('{checks.USCC_ALPHABET}', cast({K} % 31 as int) + 1, 1)",
+    "iban": f"substr('DEGBES', 2 * cast({K} % 3 as int) + 1, 2) || {_num(f'{K} % 100', 2)} || {_num(f'{K} * 7919 % 1000000', 18)}",
+    "codice_fiscale": f"'RSSMRA' || {_num(f'{K} % 100', 2)} || 'A' || {_num(f'{K} % 31', 2)} || 'H' || {_num(f'{K} % 1000', 3)} || substr('{checks.LETTERS}', cast({K} % 26 as int) + 1, 1)",
+    "steuer_id": _num(f"12345678000 + {K} * 7919 % 1000000", 11),
+    "dni": f"{_num(f'{K} * 31 % 100000000', 8)} || substr('{checks.DNI_LETTERS}', cast({K} % 23 as int) + 1, 1)",
+}
+for _name, _sample in _samples.items():
+    both(f"check_{_name}", lambda d, n=_name, s=_sample: f"SELECT k, v, {checks.CHECKS[n](d, 'v')} AS valid FROM (SELECT {K} AS k, {s} AS v FROM orders)")
+both("card_network", lambda d: f"SELECT k, v, {checks.network('v')} AS network FROM (SELECT {K} AS k, {_num(f'{K} * 982451653', 12 + 4)} AS v FROM orders)")
+
+# Text classes --------------------------------------------------------------------------------
+both("ner_trigger", lambda d: f"SELECT doc_id, length(text) >= 2 AND {d.count('text', '\\p{L}')} >= 2 AS model_runs FROM ({ALL_TEXTS})")
+both(
+    "script_of",
+    lambda d: f"""SELECT doc_id, CASE WHEN letters = 0 THEN 'unknown' WHEN han * 1.0 / letters >= 0.25 THEN 'han' WHEN latin * 1.0 / letters >= 0.5 THEN 'latin' ELSE 'unknown' END AS script
+    FROM (SELECT doc_id, {d.count("text", d.script("Han"))} AS han, {d.count("text", d.script("Latin"))} AS latin, {d.count("text", "\\p{L}")} AS letters FROM ({ALL_TEXTS}))""",
+)
+both("byte_offsets", lambda d: f"SELECT doc_id, cast(length(text) as int) AS n_chars, cast({d.bytes('text')} as int) AS n_bytes FROM ({ALL_TEXTS})")
+
+# Rewriting -----------------------------------------------------------------------------------
+_found = R.resolve_overlaps_sql(R.detect_sql(ALL_TEXTS, MAIN))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.resolve_overlaps(R.detect(run(spark, sf_dir, ALL_TEXTS), MAIN))
+
+
+def _replaced(name: str, spark_value: str, duck_value: str) -> None:
+    frame(name, lambda spark, d: _entities(spark, d).select("doc_id", "type", "start", F.expr(spark_value).alias("replacement")), f"SELECT doc_id, type, start, {duck_value} AS replacement FROM ({_found})")
+
+
+_replaced("rewrite_hash", W.hashed(SPARK, KEY, 12), W.hashed(DUCK, KEY, 12))
+_replaced("rewrite_token", W.token(SPARK, KEY), W.token(DUCK, KEY))
+_replaced("rewrite_char_mask", W.char_mask(), W.char_mask())
+_replaced("rewrite_drop", "''", "''")
+_matrix = "case when type = 'EMAIL' then {h} when type = 'BANK_CARD' then {c} when type = 'IP' then '' else {t} end"
+_replaced("matrix_by_type", _matrix.format(h=W.hashed(SPARK, KEY), c=W.char_mask(), t=W.token(SPARK, KEY)), _matrix.format(h=W.hashed(DUCK, KEY), c=W.char_mask(), t=W.token(DUCK, KEY)))
+_dates = f"SELECT {K} AS k, CASE cast({K} % 4 as int) WHEN 0 THEN cast(1800 + {K} % 300 as varchar(6)) || '-' || cast({K} % 13 as varchar(3)) || '-3' WHEN 1 THEN cast(1790 + {K} % 320 as varchar(6)) || '年' WHEN 2 THEN '1987年6月5日' ELSE 'n/a' END AS value FROM orders"
+both("generalize_decade", lambda d: f"SELECT k, value, coalesce({W.generalized(d)}, '') AS general FROM ({_dates})")
+both("generalize_year", lambda d: f"SELECT k, value, coalesce({W.generalized(d, True)}, '') AS general FROM ({_dates})")
+frame("redact_documents", lambda spark, d: W.splice(run(spark, d, ALL_TEXTS), _entities(spark, d).select("doc_id", "start_cp", "end_cp", F.expr(W.hashed(SPARK, KEY)).alias("replacement"))), W.splice_sql(ALL_TEXTS, f"SELECT doc_id, start_cp, end_cp, {W.hashed(DUCK, KEY)} AS replacement FROM ({_found})"))
+
+_session = f"SELECT doc_id, session, text FROM ({SYNTH})"
+_session_found = R.resolve_overlaps_sql(R.detect_sql(_session, MAIN))
+_vault = f"""SELECT session, type, value, (row_number() OVER (PARTITION BY session, type ORDER BY first) - 1)::INT AS idx FROM (
+    SELECT session, type, value, min({{'doc_id': doc_id, 'start': start}}) AS first FROM ({_session_found}) JOIN (SELECT doc_id, session FROM ({SYNTH})) USING (doc_id) GROUP BY session, type, value)"""
+_vault = f"SELECT *, 'ANONYMIZED_' || type || '_' || idx AS placeholder FROM ({_vault})"
+
+
+def _session_entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    texts = run(spark, sf_dir, _session)
+    found = R.resolve_overlaps(R.detect(texts, MAIN)).join(texts.select("doc_id", "session"), "doc_id")
+    return texts, found, W.vault(found, ["session"], ["doc_id", "start"])
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    texts, found, vaults = _session_entities(spark, sf_dir)
+    spans = found.join(vaults, ["session", "type", "value"]).select("doc_id", "start_cp", "end_cp", F.col("placeholder").alias("replacement"))
+    return texts, W.splice(texts, spans), vaults
+
+
+def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, masked, vaults = _masked(spark, sf_dir)
+    tail = F.lit(" [ANONYMIZED_NAME_9] ")
+    reply = masked.join(texts.select("doc_id", "session"), "doc_id").select("doc_id", "session", F.concat("redacted", tail).alias("text"))
+    back = W.restore(reply, ["session"], vaults).join(texts.select("doc_id", F.col("text").alias("original")), "doc_id")
+    return back.select("doc_id", "n_found", "phantom", (F.col("restored") == F.concat("original", tail)).alias("same"))
+
+
+frame("vault_numbering", lambda spark, d: _session_entities(spark, d)[2], _vault)
+frame("mask_sessions", lambda spark, d: _masked(spark, d)[1], W.splice_sql(_session, f"SELECT f.doc_id, start_cp, end_cp, placeholder AS replacement FROM ({_session_found}) f JOIN (SELECT doc_id, session FROM ({SYNTH})) s USING (doc_id) JOIN ({_vault}) v ON v.session = s.session AND v.type = f.type AND v.value = f.value"))
+frame("restore_round_trip", _restored, f"SELECT doc_id, (coalesce(n, 0) + 1)::INT AS n_found, 'ANONYMIZED_NAME_9' AS phantom, true AS same FROM (SELECT doc_id FROM ({SYNTH})) LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_session_found}) GROUP BY doc_id) USING (doc_id)")
+frame("leak_scan", lambda spark, d: W.leaks(run(spark, d, _session), ["session"], _session_entities(spark, d)[2]).select("doc_id", "type"), f"SELECT DISTINCT t.doc_id, v.type FROM ({_session}) t JOIN ({_vault}) v ON t.session = v.session AND contains(t.text, v.value)")
+frame("audit_counts", lambda spark, d: _session_entities(spark, d)[2].groupBy("session", "type").agg(F.count("*").alias("n")), f"SELECT session, type, count(*) AS n FROM ({_vault}) GROUP BY session, type")
+both("session_fingerprint", lambda d: f"SELECT session, left({hmac_hex(d, KEY, "('session' || ':' || cast(session as varchar(20)))")}, 16) AS fingerprint FROM (SELECT DISTINCT cast(o_custkey as bigint) AS session FROM orders)")
+
+# Rosters and surnames ------------------------------------------------------------------------
+_people = "SELECT cast(c_custkey as bigint) AS doc_id, 'from ' || lower(n_name) || ' and ' || n_name || ' 张伟 小李娜 欧阳修的 ' || c_name AS text FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_roster = "SELECT 'COUNTRY' AS type, lower(n_name) AS term FROM nation UNION ALL SELECT 'NAME', '张伟' UNION ALL SELECT 'NAME', '李娜'"
+both(
+    "roster_hits",
+    lambda d: f"""SELECT doc_id, type, term, cast(pos - 1 as int) AS start_cp FROM (SELECT doc_id, lower(text) AS t, {"explode(sequence(1, length(text)))" if d.spark else "unnest(range(1, length(text) + 1))"} AS pos FROM ({_people})) p
+    JOIN ({_roster}) r ON substr(t, cast(pos as int), length(term)) = term WHERE length(term) >= 2""",
+)
+#: Some compound surnames, runes that end a name, runes that may not stand before one.
+_surnames, _stops, _blocks = ("欧阳", "司徒", "司马", "上官", "诸葛"), "的了是在和与及或就都很不没有把被将从对向为以但而且因所如果虽然这那些个们呢吗吧啊呀哦嗯其乃即则却", "小老大阿"
+both(
+    "surname_candidates",
+    lambda d: f"""SELECT doc_id, cast(pos - 1 as int) AS start_cp, substr(text, cast(pos as int), cast(2 + n as int)) AS value, cast(0.7 as double) AS confidence
+    FROM (SELECT doc_id, text, {"explode(sequence(1, length(text)))" if d.spark else "unnest(range(1, length(text) + 1))"} AS pos FROM ({_people})) p CROSS JOIN (VALUES (1), (2)) g(n)
+    WHERE substr(text, cast(pos as int), 2) IN ({", ".join(f"'{s}'" for s in _surnames)}) AND (pos = 1 OR instr('{_blocks}', substr(text, cast(pos - 1 as int), 1)) = 0)
+      AND length(substr(text, cast(pos + 2 as int), n)) = n AND {d.test("substr(text, cast(pos + 2 as int), n)", f"^[一-鿿]+$")} AND NOT {d.test("substr(text, cast(pos + 2 as int), n)", f"[{_stops}]")}""",
+)
+
+# Relevance, frames and telemetry -------------------------------------------------------------
+_asks = "SELECT * FROM (VALUES (1, 'where is 星辰科技 now', 'ORG', '星辰科技'), (2, '客户 家住 北京路1号', 'ADDRESS', '北京路1号'), (3, '北京路1号 怎么走', 'ADDRESS', '北京路1号'), (4, 'call 张伟', 'NAME', '张伟'), (5, '星辰科技 report', 'ORG', '星辰科技')) t(doc_id, text, type, value)"
+_own = ("住址", "家住", "住在", "居住", "户籍", "的地址", "的住所", "收货地址", "联系地址", "身份证", "客户", "患者", "员工", "lives at", "resides at", "home address", "his address", "her address", "customer", "patient", "employee")
+_topic = ("怎么走", "怎么去", "邮编", "邮政编码", "在哪", "位于", "距离", "营业时间", "电话是多少", "介绍一下", "是什么公司", "属于哪", "how to get to", "directions to", "postcode", "zip code", "where is", "opening hours", "what company")
+_has = lambda words: "(" + " or ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+both("relevance", f"SELECT doc_id, type, type IN ('ADDRESS', 'ORG') AND NOT {_has(_own)} AND {_has(_topic)} AS preserved FROM ({_asks})")
+both("snippet_offsets", f"SELECT doc_id, value, cast(instr(text, value) - 1 as int) AS evidence_start, instr(text, value) > 0 AS verbatim FROM ({_asks})")
+_skip = "('http.status_code'), ('http.method'), ('span.kind'), ('error.type'), ('rpc.system'), ('db.system')"
+both("telemetry_fields", f"SELECT event_id, k FROM (SELECT event_id, CASE cast(event_id % 4 as int) WHEN 0 THEN 'http.method' WHEN 1 THEN 'user.note' WHEN 2 THEN 'span.kind' ELSE event_type END AS k FROM events) e LEFT ANTI JOIN (SELECT * FROM (VALUES {_skip}) t(key)) s ON k = key".replace("LEFT ANTI JOIN", "LEFT ANTI JOIN"))
+ORACLE["telemetry_fields"] = ORACLE["telemetry_fields"].replace("LEFT ANTI JOIN", "ANTI JOIN")
+
+# Streams and the control plane over events ---------------------------------------------------
+_sec = lambda d: "unix_timestamp(ts)" if d.spark else "cast(floor(epoch(ts)) as bigint)"
+both("token_window", lambda d: f"SELECT event_id, user_id, cast(sum(tokens) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) as bigint) AS used FROM (SELECT event_id, user_id, {_sec(d)} AS s, cast(floor(value) as bigint) + 1 AS tokens FROM events)")
+both("usage_estimate", lambda d: f"SELECT cast(conv_id as bigint) AS conv_id, cast(sum(cast(floor({d.bytes('text')} / 3.0) as bigint)) as bigint) AS tokens, cast(count(*) as bigint) AS turns FROM conversations GROUP BY conv_id")
+_pressure = "CASE WHEN kv >= 0.9 OR waiting >= 32 THEN 'critical' WHEN kv >= 0.75 OR waiting >= 8 THEN 'elevated' ELSE 'normal' END"
+both("admission", f"SELECT event_id, pressure, CASE pressure WHEN 'normal' THEN true WHEN 'critical' THEN priority >= 8 ELSE priority >= 4 END AS admitted FROM (SELECT event_id, priority, {_pressure} AS pressure FROM (SELECT event_id, cast(event_id % 100 as double) / 100 AS kv, event_id % 41 AS waiting, event_id % 10 AS priority FROM events))")
+both("preemption_rise", "SELECT event_id, user_id, coalesce(p > lag(p) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS rose FROM (SELECT event_id, user_id, ts, event_id % 5 AS p FROM events)")
+both("breaker_runs", "SELECT user_id, cast(max(n) as bigint) AS longest, max(n) >= 5 AS opens FROM (SELECT user_id, g, sum(bad) AS n FROM (SELECT user_id, bad, sum(1 - bad) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 > 0 THEN 1 ELSE 0 END AS bad FROM events)) GROUP BY user_id, g) GROUP BY user_id")
+both("budget_crossing", "SELECT user_id, cast(min(event_id) as bigint) AS first_over FROM (SELECT user_id, event_id, sum(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM (SELECT user_id, event_id, ts, event_id % 7 AS cents FROM events)) WHERE spent >= 20 GROUP BY user_id")
+both("route_decision", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'explicit' WHEN event_type = 'purchase' THEN 'premium' WHEN event_id % 10 >= 8 THEN 'fast' ELSE 'default' END AS tier FROM events")
+both("first_token_gap", "SELECT user_id, cast(count(*) as bigint) AS n, min(event_id) AS first_event FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= 2 GROUP BY user_id")
+both("affinity_key", lambda d: f"SELECT conv_id, {'sha2(' if d.spark else 'sha256('}role || ':' || text{', 256)' if d.spark else ')'} AS prefix_key FROM conversations WHERE turn = 0")
+both("cache_hits", "SELECT source, cast(count(*) as bigint) AS calls, cast(count(*) - count(DISTINCT text) as bigint) AS hits FROM documents GROUP BY source")
+both("eval_by_category", "SELECT coalesce(lang, 'total') AS category, cast(sum(CASE WHEN toxic = 1 AND quality = 1 THEN 1 ELSE 0 END) as bigint) AS tp, cast(sum(CASE WHEN toxic = 0 AND quality = 1 THEN 1 ELSE 0 END) as bigint) AS fp, cast(sum(CASE WHEN toxic = 1 AND quality = 0 THEN 1 ELSE 0 END) as bigint) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)")
+both("latency_percentiles", "SELECT event_type, max(CASE WHEN rn = cast(floor(0.5 * (n - 1)) as bigint) + 1 THEN value END) AS p50, max(CASE WHEN rn = cast(floor(0.99 * (n - 1)) as bigint) + 1 THEN value END) AS p99 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Every document with its personal data replaced by keyed hashes."""
+    return QUERIES["redact_documents"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
