@@ -57,26 +57,49 @@ class Index:
             self.planes.append(Bits(bits))
             last = np.concatenate([last[~bits], last[bits]])
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        lo, hi = np.zeros_like(at), at
+        every = np.arange(len(self.first) - 1)
+        self.base = self._sink(every, np.zeros(len(every), np.int64))
+
+    def _sink(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places carried down the planes, along each symbol's bits."""
         for p, plane in enumerate(self.planes):
-            one = (symbol >> (self.width - 1 - p) & 1).astype(bool)
-            a, b = plane.rank1(lo), plane.rank1(hi)
-            lo, hi = np.where(one, plane.zeros + a, lo - a), np.where(one, plane.zeros + b, hi - b)
-        return hi - lo
+            ones = plane.rank1(at)
+            at = np.where((symbol >> (self.width - 1 - p) & 1).astype(bool), plane.zeros + ones, at - ones)
+        return at
+
+    def step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The backward step: where a suffix range's edge goes when the symbol is put before it."""
+        return self.first[symbol] + self._sink(symbol, at) - self.base[symbol]
 
-    def occurs_again(self, ends: np.ndarray, length: int) -> np.ndarray:
-        """Whether the ``length`` symbols up to each place stand at two places or more.
+    def matched(self, ends: np.ndarray, length: int) -> np.ndarray:
+        """Matching statistics: how many symbols up to each place, ``length`` at most, stand at another place too.
 
         The match grows backwards a symbol at a time; one that has become unique is let go.
         """
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.symbols), np.int64)
-        live = np.arange(len(ends))
-        for back in range(length):
-            c = self.symbols[ends[live] - back]
-            lo, hi = self.first[c] + self.rank(c, lo), self.first[c] + self.rank(c, hi)
+        c = self.symbols[ends]
+        lo, hi, live = self.first[c], self.first[c + 1], np.arange(len(ends))
+        out = np.zeros(len(ends), np.int64)
+        for back in range(1, length + 1):
             more = hi - lo > 1
             live, lo, hi = live[more], lo[more], hi[more]
-        out = np.zeros(len(ends), bool)
-        out[live] = True
+            out[live] = back
+            if back == length or not len(live):
+                break
+            c = self.symbols[ends[live] - back]
+            lo, hi = np.split(self.step(np.concatenate([c, c]), np.concatenate([lo, hi])), 2)
+        return out
+
+    def repeated(self, first: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+        """For runs of windows, given by the first window's end and their number: which windows stand elsewhere too.
+
+        A match that ends after m symbols rules out every window that holds those and the one before, so the
+        search goes on behind that place.
+        """
+        base, at = np.cumsum(count) - count, np.zeros(len(first), np.int64)
+        out, run = np.zeros(int(count.sum()), bool), np.flatnonzero(count > 0)
+        while len(run):
+            m = self.matched(first[run] + at[run], length)
+            out[(base + at)[run[m == length]]] = True
+            at[run] += np.maximum(1, length - m)
+            run = run[at[run] < count[run]]
         return out

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ class Settings:
     window: int = 35
     gram: int = 6
     segment: int = 256
-    shard_words: int = 1_000_000
+    shard_words: int = 500_000
     hot: int = 2_048
 
 
@@ -45,7 +46,7 @@ FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0
 INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -164,44 +165,47 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.int64())) for c, k in zip(zip(*rows), names, strict=True)], names)
 
 
-def _search(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Per shard: index the segments, search their windows; yields (mh, key, runs of repeated windows)."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        local: dict[bytes, int] = {}
-        symbols, spans = [0], []
-        for _, _, _, line in rows:
-            words = line.split(b" ")
-            spans.append((len(symbols), len(words) - s.window + 1))
-            symbols += [local.setdefault(w, len(local) + 1) for w in words]
-            symbols.append(0)
-        index = Index(np.array(symbols, np.int64), s.window)
-        first, count = (np.array(x, np.int64) for x in zip(*spans))
-        again = np.zeros(int(count.sum()), bool)
-        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(again)) + s.window - 1
-        many = np.repeat(np.array([x[2] for x in rows]) > 1, count)
-        again[many] = True
-        again[~many] = index.occurs_again(at[~many], s.window)
-        edge = np.concatenate([[0], np.cumsum(count)])
-        out = []
-        for (mh, key, _, _), a, b in zip(rows, edge, edge[1:]):
-            flips = np.flatnonzero(np.diff(np.concatenate([[0], again[a:b].astype(np.int8), [0]])))
-            if len(flips):
-                out.append((mh, key, [{"lo": int(i), "hi": int(j)} for i, j in zip(flips[::2], flips[1::2])]))
-        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-        cols = list(zip(*out)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind)], ["mh", "key", "runs"])
+def _solve(rows: pa.RecordBatch, s: Settings) -> pa.RecordBatch:
+    """Index a shard's segments and search their windows: (mh, key, runs of repeated windows) of those that have some."""
+    words = pc.split_pattern(rows.column("words"), b" ")
+    edges, flat = words.offsets.to_numpy().astype(np.int64), words.flatten().dictionary_encode()
+    edges = edges - edges[0]
+    size, n = np.diff(edges), len(rows)
+    first = edges[:-1] + np.arange(n) + 1  # a zero stands before each segment and at the end
+    symbols = np.zeros(len(flat) + n + 1, np.int64)
+    symbols[np.arange(len(flat)) + np.repeat(np.arange(n) + 1, size)] = flat.indices.to_numpy().astype(np.int64) + 1
+    index, count = Index(symbols, s.window), size - s.window + 1
+    many = rows.column("times").to_numpy() > 1
+    again = np.repeat(many, count)
+    again[~again] = index.repeated(first[~many] + s.window - 1, count[~many], s.window)
+    base = np.cumsum(count) - count
+    head = np.zeros(len(again), bool)
+    head[base] = True
+    tail = np.append(head[1:], True)
+    lo = np.flatnonzero(again & (head | ~np.concatenate([[False], again[:-1]])))
+    hi = np.flatnonzero(again & (tail | ~np.append(again[1:], False))) + 1
+    of = np.searchsorted(base, lo, "right") - 1
+    some, per = np.unique(of, return_counts=True)
+    pair = pa.StructArray.from_arrays([pa.array((lo - base[of]).astype(np.int32)), pa.array((hi - base[of]).astype(np.int32))], ["lo", "hi"])
+    runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pair)
+    at = pa.array(some)
+    return pa.RecordBatch.from_arrays([rows.column("mh").take(at), rows.column("key").take(at), runs], ["mh", "key", "runs"])
 
+
+def _search(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard; one shard is held at a time."""
     held, last = [], None
     for batch in batches:
-        for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "mh", "key", "times", "words")), strict=True):
-            if shard != last and held:
-                yield solve(held)
+        shard = batch.column("shard").to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else [0]
+        for i, j in zip(cut, cut[1:]):
+            if held and shard[i] != last:
+                yield _solve(pa.concat_batches(held), s)
                 held = []
-            last = shard
-            held.append(tuple(row))
+            last = shard[i]
+            held.append(batch.slice(i, j - i))
     if held:
-        yield solve(held)
+        yield _solve(pa.concat_batches(held), s)
 
 
 def _remove(batches: Iterator[pa.RecordBatch], s: Settings, digest: bool) -> Iterator[pa.RecordBatch]:

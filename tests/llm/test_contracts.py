@@ -314,8 +314,11 @@ def test_fm_index():
         ends = np.arange(length - 1, len(text))
         grams = Counter(tuple(text[e - length + 1 : e + 1]) for e in ends)
         ends = np.array([e for e in ends if 0 not in text[e - length + 1 : e + 1]])
-        got = Index(text, length).occurs_again(ends, length)
-        assert got.tolist() == [grams[tuple(text[e - length + 1 : e + 1])] > 1 for e in ends]
+        want = [grams[tuple(text[e - length + 1 : e + 1])] > 1 for e in ends]
+        index = Index(text, length)
+        assert (index.matched(ends, length) == length).tolist() == want
+        new = np.flatnonzero(np.diff(ends, prepend=-9) != 1)
+        assert index.repeated(ends[new], np.diff(np.append(new, len(ends))), length).tolist() == want
 
 
 def test_pages(spark):
