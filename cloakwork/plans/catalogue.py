@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..functions.dialect import DUCK, SPARK
 from ..functions.keys import hmac_hex, tenant_key
+from ..operators import documents as D
 from ..operators import recognizers as R
 from ..operators import rewrite as W
+from ..sources import lines as L
 
 #: A fixed key, so that keyed results can be compared; real keys come from the caller.
 KEY = tenant_key(bytes(range(32)), b"salt", "acme")
@@ -54,14 +57,13 @@ ORACLE: dict[str, str] = {}
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """SQL over the tables of a folder; nothing is registered in the session."""
-    import re
-
     used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    if not used:
+        return spark.sql(sql)
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in used:
         sql = re.sub(rf"(?i)(\b(?:from|join)\s+){t}\b", rf"\1{{{t}}}", sql)
-    doubled = re.sub(r"\{(?!(?:" + "|".join(TABLES) + r")\})", "{{", sql)
-    doubled = re.sub(r"(?<!" + r")(?<!".join("{" + t for t in TABLES) + r")\}", "}}", doubled)
-    return spark.sql(doubled, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 def both(name: str, sql: Callable | str) -> None:
@@ -226,6 +228,25 @@ both("eval_by_category", "SELECT coalesce(lang, 'total') AS category, cast(sum(C
 both("latency_percentiles", "SELECT event_type, max(CASE WHEN rn = cast(floor(0.5 * (n - 1)) as bigint) + 1 THEN value END) AS p50, max(CASE WHEN rn = cast(floor(0.99 * (n - 1)) as bigint) + 1 THEN value END) AS p99 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
 
 
+# Line formats and payloads --------------------------------------------------------------------
+_lines = "SELECT * FROM (VALUES (1, 1, 'event: delta'), (1, 2, 'data: one'), (1, 3, 'data:two'), (1, 4, ': note'), (1, 5, ''), (1, 6, 'data: [DONE]'), (2, 1, 'data: {1}'), (2, 2, 'id: 7')) t(stream_id, line_no, line)"
+both("sse_events", lambda d: L.events(d, _lines))
+_metrics = "SELECT * FROM (VALUES ('a', '# HELP x'), ('a', 'vllm:num_requests_running{m=\"x\"} 3.0'), ('a', 'vllm:num_requests_waiting 9'), ('a', 'vllm:gpu_cache_usage_perc{m=\"x\"} 0.5'), ('b', 'vllm:num_requests_running 1'), ('b', 'other 5')) t(backend, line)".replace('{m="x"}', "{m=x}")
+both("load_snapshots", lambda d: L.snapshots(d, _metrics))
+_payloads = "SELECT cast(conv_id * 1000 + turn as bigint) AS doc_id, to_json(named_struct('model', 'm', 'big', 9007199254740993, 'messages', array(named_struct('role', role, 'content', text)))) AS payload FROM conversations"
+frame("payload_leaves", lambda spark, d: D.leaves(run(spark, d, _payloads)), "SELECT (conv_id * 1000 + turn)::BIGINT AS doc_id, 0 AS leaf_no, 'messages/0/content' AS path, text FROM conversations WHERE text IS NOT NULL")
+
+
+def _sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payloads = run(spark, sf_dir, _payloads)
+    found = D.leaves(payloads).select("doc_id", "leaf_no", F.regexp_replace("text", "[0-9]", "#").alias("text"))
+    out = D.put_back(payloads, found)
+    return out.select("doc_id", F.get_json_object("payload", "$.messages[0].content").alias("content"), F.get_json_object("payload", "$.big").alias("big"))
+
+
+frame("payload_round_trip", _sanitized, "SELECT (conv_id * 1000 + turn)::BIGINT AS doc_id, regexp_replace(text, '[0-9]', '#', 'g') AS content, '9007199254740993' AS big FROM conversations")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by keyed hashes."""
     return QUERIES["redact_documents"](spark, sf_dir)
