@@ -96,8 +96,10 @@ def without_prefilter(r: Recognizer) -> Recognizer:
 
 
 def _window(d: Dialect) -> str:
-    left, right = f"left(text, cast(s as int))", "substr(text, cast(s + length(v) + 1 as int))"
-    return f"lower({d.shortest('right', left, CONTEXT_BYTES)} || v || {d.shortest('left', right, CONTEXT_BYTES)})"
+    """The match with the context around it, in lower case; at most as many characters as bytes are looked at."""
+    before, after = ("before", "after") if d.spark else (f"right(left(text, cast(s as int)), {CONTEXT_BYTES})", f"substr(text, cast(s + length(v) + 1 as int), {CONTEXT_BYTES})")
+    plain = lambda x, side: f"case when {d.bytes(x)} = length({x}) then {x} else {d.shortest(side, x, CONTEXT_BYTES)} end"
+    return f"lower({plain(before, 'right')} || v || {plain(after, 'left')})"
 
 
 def _test(r: Recognizer, d: Dialect) -> str:
@@ -122,23 +124,44 @@ def _score(r: Recognizer) -> str:
 COLUMNS = ["doc_id", "detector", "type", "value", "start", "end", "start_cp", "end_cp", "confidence"]
 
 
-def recognize(docs: DataFrame, r: Recognizer) -> DataFrame:
-    """Entities of one recogniser: byte and code-point offsets, value and confidence.
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the scan has fewer parts than that, as with one small file; else untouched."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
 
-    Matches and the gaps between them are cut from the text in two passes of the regular
-    expression engine; a match's place is the length of what stands before it.
+def detect(docs: DataFrame, recognizers: list[Recognizer], least: float = 0.0) -> DataFrame:
+    """All recognisers' entities at or above a confidence, overlaps left in: byte and code-point offsets, value, confidence.
+
+    One scan serves every recogniser.  Matches and the gaps between them are cut from the text in two passes of
+    the regular expression engine, the second only where the first found something; a match's place is the
+    length of what stands before it.
     """
-    d = SPARK
-    rows = docs.select("doc_id", "text").filter(F.col("text").rlike(r.need)) if r.need else docs.select("doc_id", "text")
-    rows = rows.select("doc_id", "text", F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)).alias("m"), F.split("text", r.pattern, -1).alias("g"))
-    rows = rows.filter(F.size("m") > 0).select("doc_id", "text", "m", "g", F.posexplode("m").alias("i", "v"))
+    d, none = SPARK, F.array().cast("array<string>")
+    pick = lambda f, other: "case r " + " ".join(f"when {i} then {f(r)}" for i, r in enumerate(recognizers)) + f" else {other} end"
+    rows = spread(docs.select("doc_id", "text"))
+    found = [F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)) for r in recognizers]
+    found = [F.when(F.col("text").rlike(r.need), m).otherwise(none) if r.need else F.coalesce(m, none) for r, m in zip(recognizers, found)]
+    per = F.array(*(F.struct(F.lit(i).alias("r"), m.alias("m")) for i, m in enumerate(found)))
+    rows = rows.select("doc_id", "text", F.explode(F.filter(per, lambda x: F.size(x["m"]) > 0)).alias("x")).select("doc_id", "text", "x.r", "x.m")
+    gaps = F.when(F.lit(False), none)
+    for i, r in enumerate(recognizers):
+        gaps = gaps.when(F.col("r") == i, F.split("text", r.pattern, -1))
+    rows = rows.withColumn("g", gaps).select("doc_id", "text", "r", "m", "g", F.posexplode("m").alias("i", "v"))
     place = "aggregate(slice(g, 1, i + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(m, 1, i), 0, (a, x) -> a + length(x))"
-    rows = rows.select("doc_id", "text", "v", F.expr(place).alias("s")).filter(F.expr(_test(r, d)))
-    rows = rows.withColumn("win", F.expr(_window(d)) if r.words else F.lit(""))
-    if r.required:
-        rows = rows.filter(F.expr(_near(r)))
-    start = F.octet_length(F.expr("left(text, s)"))
-    return rows.select("doc_id", F.lit(r.name).alias("detector"), F.lit(r.type).alias("type"), F.col("v").alias("value"), start.cast("int").alias("start"), (start + F.octet_length("v")).cast("int").alias("end"), F.col("s").cast("int").alias("start_cp"), (F.col("s") + F.length("v")).cast("int").alias("end_cp"), F.expr(_score(r)).alias("confidence"))
+    rows = rows.select("doc_id", "text", "r", "v", F.expr(place).alias("s")).filter(F.expr(pick(lambda r: _test(r, d), "false")))
+    rows = rows.withColumn("before", F.expr(f"right(left(text, s), {CONTEXT_BYTES})")).withColumn("after", F.expr(f"substr(text, s + length(v) + 1, {CONTEXT_BYTES})"))
+    rows = rows.withColumn("start", F.octet_length(F.expr("left(text, s)"))).drop("text").withColumn("win", F.expr(_window(d)))
+    if any(r.required for r in recognizers):
+        rows = rows.filter(F.expr(pick(lambda r: _near(r) if r.required else "true", "false")))
+    score = F.expr(pick(_score, "0D"))
+    out = rows.select("doc_id", F.expr(pick(lambda r: f"'{r.name}'", "''")).alias("detector"), F.expr(pick(lambda r: f"'{r.type}'", "''")).alias("type"), F.col("v").alias("value"), F.col("start").cast("int").alias("start"), (F.col("start") + F.octet_length("v")).cast("int").alias("end"), F.col("s").cast("int").alias("start_cp"), (F.col("s") + F.length("v")).cast("int").alias("end_cp"), score.alias("confidence"))
+    return out.filter(F.col("confidence") >= least) if least > 0 else out
+
+
+def recognize(docs: DataFrame, r: Recognizer) -> DataFrame:
+    """Entities of one recogniser."""
+    return detect(docs, [r])
 
 
 def recognize_sql(source: str, r: Recognizer) -> str:
@@ -154,14 +177,6 @@ def recognize_sql(source: str, r: Recognizer) -> str:
         {f"WHERE {_near(r)}" if r.required else ""}"""
 
 
-def detect(docs: DataFrame, recognizers: list[Recognizer], least: float = 0.0) -> DataFrame:
-    """All recognisers' entities at or above a confidence, overlaps left in."""
-    out = recognize(docs, recognizers[0])
-    for r in recognizers[1:]:
-        out = out.unionByName(recognize(docs, r))
-    return out.filter(F.col("confidence") >= least)
-
-
 def detect_sql(source: str, recognizers: list[Recognizer], least: float = 0.0) -> str:
     return f"SELECT * FROM ({' UNION ALL '.join(recognize_sql(source, r) for r in recognizers)}) WHERE confidence >= {least}"
 
