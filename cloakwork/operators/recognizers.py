@@ -35,27 +35,27 @@ CARD_WORDS = ("卡号", "银行卡", "信用卡", "card", "credit")
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 BUILT_IN = (
     Recognizer("email", "EMAIL", 0.99, r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "@"),
-    Recognizer("bank_card_grouped", "BANK_CARD", 0.80, r"[0-9]{4}(?:[ \-][0-9]{4}){2,4}", "[0-9]", "digit_sep", "card", True, CARD_WORDS),
-    Recognizer("bank_card_plain", "BANK_CARD", 0.80, "[0-9]{12,19}", "[0-9]", "digit_sep", "card", False, CARD_WORDS),
-    Recognizer("iban", "IBAN", 0.95, "[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}[A-Z0-9]{0,4}", "[A-Z]", "alnum", "iban", True, ("iban", "账号", "account", "银行")),
+    Recognizer("bank_card_grouped", "BANK_CARD", 0.80, r"[0-9]{4}(?:[ \-][0-9]{4}){2,4}", "[0-9]{4}[ -][0-9]{4}", "digit_sep", "card", True, CARD_WORDS),
+    Recognizer("bank_card_plain", "BANK_CARD", 0.80, "[0-9]{12,19}", "[0-9]{12}", "digit_sep", "card", False, CARD_WORDS),
+    Recognizer("iban", "IBAN", 0.95, "[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}[A-Z0-9]{0,4}", "[A-Z]{2}[0-9]{2}", "alnum", "iban", True, ("iban", "账号", "account", "银行")),
     Recognizer("intl_phone", "PHONE", 0.85, r"\+[0-9]{1,3}[\t\n\f\r \-]?[0-9]{6,14}", r"\+", "digit"),
-    Recognizer("ipv4", "IP", 0.70, rf"(?:{OCTET}\.){{3}}{OCTET}", r"\.", "digit", None, False, ("ip", "地址", "服务器", "主机", "网关", "内网", "外网", "host", "server", "addr", "gateway", "endpoint", "上游"), 0.05, True),
+    Recognizer("ipv4", "IP", 0.70, rf"(?:{OCTET}\.){{3}}{OCTET}", "[0-9][.][0-9]", "digit", None, False, ("ip", "地址", "服务器", "主机", "网关", "内网", "外网", "host", "server", "addr", "gateway", "endpoint", "上游"), 0.05, True),
     Recognizer("openai_key", "CREDENTIAL", 0.99, r"sk-[A-Za-z0-9_\-]{16,}", "sk-"),
     Recognizer("aws_access_key", "CREDENTIAL", 0.99, "AKIA[0-9A-Z]{16}", "AKIA"),
     Recognizer("github_token", "CREDENTIAL", 0.99, "gh[pousr]_[A-Za-z0-9]{20,}", "gh"),
     Recognizer("jwt", "CREDENTIAL", 0.99, r"eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}", "eyJ"),
-    Recognizer("cn_id_card", "ID_CARD", 0.90, "[0-9]{17}[0-9Xx]", "[0-9]", "digit", "cn_id", False, ("身份证", "证件号", "identity", "id card"), pack="CN"),
-    Recognizer("cn_mobile", "PHONE", 0.85, "1[3-9][0-9]{9}", "[0-9]", "digit_sep", None, False, ("手机", "电话", "联系", "phone", "mobile"), pack="CN"),
-    Recognizer("cn_landline", "PHONE", 0.85, "0[0-9]{2,3}-[0-9]{7,8}", "-", "digit_sep", pack="CN"),
+    Recognizer("cn_id_card", "ID_CARD", 0.90, "[0-9]{17}[0-9Xx]", "[0-9]{17}", "digit", "cn_id", False, ("身份证", "证件号", "identity", "id card"), pack="CN"),
+    Recognizer("cn_mobile", "PHONE", 0.85, "1[3-9][0-9]{9}", "1[3-9][0-9]{9}", "digit_sep", None, False, ("手机", "电话", "联系", "phone", "mobile"), pack="CN"),
+    Recognizer("cn_landline", "PHONE", 0.85, "0[0-9]{2,3}-[0-9]{7,8}", "0[0-9]{2,3}-[0-9]{7}", "digit_sep", pack="CN"),
     Recognizer("cn_uscc", "USCC", 0.90, "[0-9A-HJ-NPQRTUWXY]{2}[0-9]{6}[0-9A-HJ-NPQRTUWXY]{10}", "[A-Z]", "alnum", "uscc", pack="CN"),
-    Recognizer("cn_passport", "PASSPORT", 0.60, "[EG][0-9]{8}", "[EG]", "alnum", None, False, ("护照", "passport"), 0.30, pack="CN"),
+    Recognizer("cn_passport", "PASSPORT", 0.60, "[EG][0-9]{8}", "[EG][0-9]{8}", "alnum", None, False, ("护照", "passport"), 0.30, pack="CN"),
     Recognizer("cn_license_plate", "LICENSE_PLATE", 0.90, "[京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼使领][A-HJ-NP-Z][A-HJ-NP-Z0-9]{4,6}[A-HJ-NP-Z0-9挂学警港澳]", "[一-龥]", pack="CN"),
-    Recognizer("de_steuer_id", "ID_CARD", 0.90, "[0-9]{11}", "[0-9]", "digit", "steuer_id", False, ("steuer", "steueridentifikationsnummer", "tax id", "税号"), pack="DE"),
-    Recognizer("de_ust_idnr", "USCC", 0.85, "DE[0-9]{9}", "DE", "alnum", None, False, ("ust", "umsatzsteuer", "vat"), pack="DE"),
-    Recognizer("es_dni_nie", "ID_CARD", 0.90, "[XYZxyz]?[0-9]{7,8}[-]?[A-Za-z]", "[0-9]", "alnum", "dni", True, ("dni", "nie", "documento", "身份证"), pack="ES"),
-    Recognizer("it_codice_fiscale", "ID_CARD", 0.90, "[A-Za-z]{6}[0-9]{2}[A-Za-z][0-9]{2}[A-Za-z][0-9]{3}[A-Za-z]", "[0-9]", "alnum", "codice_fiscale", False, ("codice fiscale", "cf", "税号", "fiscal code"), pack="IT"),
-    Recognizer("it_partita_iva", "USCC", 0.80, "[0-9]{11}", "[0-9]", "digit", "luhn", False, ("partita iva", "p.iva", "vat"), pack="IT"),
-    Recognizer("us_ssn", "SSN", 0.75, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", "digit", None, False, ("ssn", "social security", "社会安全号"), 0.20, pack="US"),
+    Recognizer("de_steuer_id", "ID_CARD", 0.90, "[0-9]{11}", "[0-9]{11}", "digit", "steuer_id", False, ("steuer", "steueridentifikationsnummer", "tax id", "税号"), pack="DE"),
+    Recognizer("de_ust_idnr", "USCC", 0.85, "DE[0-9]{9}", "DE[0-9]{9}", "alnum", None, False, ("ust", "umsatzsteuer", "vat"), pack="DE"),
+    Recognizer("es_dni_nie", "ID_CARD", 0.90, "[XYZxyz]?[0-9]{7,8}[-]?[A-Za-z]", "[0-9]{7}", "alnum", "dni", True, ("dni", "nie", "documento", "身份证"), pack="ES"),
+    Recognizer("it_codice_fiscale", "ID_CARD", 0.90, "[A-Za-z]{6}[0-9]{2}[A-Za-z][0-9]{2}[A-Za-z][0-9]{3}[A-Za-z]", "[0-9]{2}[A-Za-z][0-9]{2}", "alnum", "codice_fiscale", False, ("codice fiscale", "cf", "税号", "fiscal code"), pack="IT"),
+    Recognizer("it_partita_iva", "USCC", 0.80, "[0-9]{11}", "[0-9]{11}", "digit", "luhn", False, ("partita iva", "p.iva", "vat"), pack="IT"),
+    Recognizer("us_ssn", "SSN", 0.75, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]-[0-9]{2}-[0-9]", "digit", None, False, ("ssn", "social security", "社会安全号"), 0.20, pack="US"),
 )
 TENANT_RULE = Recognizer("tenant_token", "CUSTOM_TOKEN", 0.80, "[0-9a-f]{40}", "token", "alnum", None, False, ("token",), 0.15, True, "TENANT")
 PACKS = ("GEN", "CN", "DE", "ES", "IT", "US")
