@@ -1,7 +1,9 @@
 """Quality classifier by importance resampling of hashed n-gram models.
 
 Two bags of hashed features, one of the target texts and one of all raw texts, give each
-document the logarithm of its likelihood ratio.  Gumbel noise added to that weight and a
+document the logarithm of its likelihood ratio.  Words that labelled toxic texts hold far more often
+than others lower it by the strongest of them, as one passage makes a text toxic and a mean over the
+whole hides it.  Gumbel noise added to that weight and a
 top-k cut draw k documents without replacement in proportion to their weights.
 """
 
@@ -31,6 +33,9 @@ class Settings:
     bucket's ratio of target count to the count expected from raw text towards one.  ``shrink``: features that a
     document is given at a ratio of one, so that short texts don't stand out.
     ``temperature``: features that a document counts for in its weight, whatever its length.
+    ``reject_toxic``: toxic labelled rows of any quality are bad, told by words with a cut of their own; without it the cut is on quality alone.
+    ``evidence``: log-likelihood statistic (G squared) over labelled documents from which a word speaks for a
+    toxic text, ``toxic_words`` of the strongest at most.
     ``keep``: documents to draw; None draws as many as lie above the labelled cut."""
 
     buckets: int = 65_536
@@ -38,6 +43,9 @@ class Settings:
     prior: float = 4.0
     shrink: float = 12.0
     temperature: float = 200.0
+    reject_toxic: bool = False
+    evidence: float = 25.0
+    toxic_words: int = 4_096
     keep: int | None = None
     seed: int = 20_240_607
 
@@ -49,9 +57,12 @@ class Features:
         self.buckets, self.seen = np.uint64(buckets), {}
 
     def __call__(self, text: str) -> np.ndarray:
+        return self.of(TOKEN.findall(text))
+
+    def of(self, words: list[str]) -> np.ndarray:
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
-        seen, words = self.seen, TOKEN.findall(text)
+        seen = self.seen
         try:
             ids = [seen[w] for w in words]
         except KeyError:
@@ -80,9 +91,39 @@ def _counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), model, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[model][at])], ["model", "bucket", "n"])
 
 
-def _scores(text: str, features: Features, ratio: np.ndarray, s: Settings) -> tuple[int, float]:
-    at = features(text)
-    return len(at), float(ratio[at].sum()) / (len(at) + s.shrink)
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of labelled documents, with what the cut on them needs."""
+    for batch in batches:
+        words = pa.array([sorted(set(TOKEN.findall(t))) for t in texts(batch, "text")], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("held"), words], ["toxic", "held", "words"])
+
+
+def _toxic(labelled: DataFrame, s: Settings) -> dict[str, float]:
+    """Log-odds of the words that tell toxic documents, cut where held-out rows are split best.
+
+    Empty if no word has the evidence, as when few toxic documents are labelled."""
+    rows = staged(map_batches(labelled, _words, "toxic int, held boolean, words array<string>"), "toxic")
+    n = {r.toxic: r.n for r in rows.filter("not held").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not n.get(1) or not n.get(0):
+        return {}
+    each = rows.filter("not held").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
+    share = F.lit(n[1] / (n[0] + n[1]))
+    expected = (F.col("a") + F.col("b")) * share
+    both = F.col("a") * F.log(F.col("a") / expected) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / ((F.col("a") + F.col("b")) * (1 - share)))).otherwise(0.0)
+    told = each.filter(F.col("a") > expected).select("word", (2 * both).alias("g"), F.log((F.col("a") + 1) / (F.col("b") * F.lit(n[1] / n[0]) + 1)).alias("odds")).filter(F.col("g") >= s.evidence)
+    odds = {r.word: r.odds for r in told.orderBy(F.desc("g"), "word").limit(s.toxic_words).collect()}
+    if not odds:
+        return {}
+    peaks = rows.filter("held").select("toxic", F.array_intersect("words", F.array(*map(F.lit, odds))).alias("words")).limit(8 * s.labelled_rows).collect()
+    edge = -_threshold([(-max((odds[w] for w in r.words), default=0.0), 1 - r.toxic) for r in peaks])
+    return {w: x for w, x in odds.items() if x >= edge}
+
+
+def _scores(text: str, features: Features, ratio: np.ndarray, toxic: dict[str, float], s: Settings) -> tuple[int, float]:
+    words = TOKEN.findall(text)
+    at = features.of(words)
+    peak = 0.0 if toxic.keys().isdisjoint(words) else max(toxic[w] for w in toxic.keys() & set(words))
+    return len(at), float(ratio[at].sum()) / (len(at) + s.shrink) - peak
 
 
 def _gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -90,11 +131,11 @@ def _gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
     return -np.log(-np.log(u))
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, s: Settings, through: bool, cut: int | None) -> Iterator[pa.RecordBatch]:
+def _score_batches(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, toxic: dict[str, float], s: Settings, through: bool, cut: int | None) -> Iterator[pa.RecordBatch]:
     """Scores of a batch's documents or, with ``through``, its rows at or above the cut."""
     features = Features(s.buckets)
     for batch in batches:
-        got = [_scores(t, features, ratio, s) for t in texts(batch, "text")]
+        got = [_scores(t, features, ratio, toxic, s) for t in texts(batch, "text")]
         n, mean = np.array([x[0] for x in got], np.int64), np.array([x[1] for x in got], np.float64)
         ids = np.array([-1 if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
         key = ordered_bits(s.temperature * mean + _gumbel(ids, s.seed))
@@ -107,9 +148,10 @@ def _score_batches(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, s: Sett
 
 @dataclass(frozen=True)
 class Fitted:
-    """``ratio``: log-ratio of each bucket.  ``scores``: a row for each document."""
+    """``ratio``: log-ratio of each bucket.  ``toxic``: log-odds of toxic words.  ``scores``: a row for each document."""
 
     ratio: np.ndarray
+    toxic: dict[str, float]
     scores: DataFrame
     cut: int | None
     kept: int
@@ -117,7 +159,7 @@ class Fitted:
 
 
 def _threshold(rows: list[tuple[float, int]]) -> float:
-    """The mean log-ratio that splits labelled good from bad best: highest sum of both recalls."""
+    """The score that splits labelled good from bad best: highest sum of both recalls."""
     good, bad = np.sort([m for m, q in rows if q == 1]), np.sort([m for m, q in rows if q == 0])
     if not len(good) or not len(bad):
         return -np.inf
@@ -134,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     Without labelled good and bad rows every document with text is drawn.
     """
     s = settings
-    chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    told = F.col("quality").isNotNull() | F.lit(s.reject_toxic) & (F.coalesce("toxic", F.lit(0)) != 0)
+    chosen = labels.filter(told & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce((F.col("toxic") != 0).cast("int"), F.lit(0))).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(s.labelled_rows)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"), "left")
     rows = read.select("doc_id", "text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
@@ -149,13 +192,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         ratio = np.log((total[1] + s.prior) / (expected + s.prior))
     else:
         ratio = np.zeros(s.buckets)
+    toxic = _toxic(rows.filter(F.col("toxic").isNotNull()).select("text", "toxic", held_out.alias("held")), s) if s.reject_toxic else {}
     schema = "doc_id long, quality int, toxic int, n_features long, mean_log_ratio double, log_weight double, draw_key long"
-    scores = staged(map_batches(rows, _score_batches, schema, ratio, s, False, None), "importance")
+    scores = staged(map_batches(rows, _score_batches, schema, ratio, toxic, s, False, None), "importance")
     seen = scores.filter(held_out & F.col("quality").isNotNull() & (F.col("n_features") > 0) & ((F.col("toxic") == 0) | (F.col("quality") == 0))).select("mean_log_ratio", "quality")
     edge = _threshold([(r[0], r[1]) for r in seen.orderBy("mean_log_ratio").limit(8 * s.labelled_rows).collect()])
     usable = scores.filter(F.col("n_features") > 0)
     k = s.keep if s.keep is not None else usable.filter(F.col("mean_log_ratio") >= F.lit(edge)).count()
-    return Fitted(ratio, scores, kth_largest(usable, "draw_key", k), k, s)
+    return Fitted(ratio, toxic, scores, kth_largest(usable, "draw_key", k), k, s)
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -168,4 +212,4 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 def keep_drawn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The drawn documents with all their columns.  Texts are scored again rather than shuffled."""
     m = fit(docs, labels, settings)
-    return map_batches(docs, _score_batches, docs.schema, m.ratio, m.settings, True, m.cut)
+    return map_batches(docs, _score_batches, docs.schema, m.ratio, m.toxic, m.settings, True, m.cut)

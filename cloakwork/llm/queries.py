@@ -11,7 +11,7 @@ from .common import table
 
 
 def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), importance.Settings(reject_toxic=True))
 
 
 def op2_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ from cloakwork.llm.common import staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws; the others go."""
-    return importance.keep_drawn(docs, table(spark, sf_dir, "labels"))
+    """Documents that importance resampling draws, toxic ones rejected; the others go."""
+    return importance.keep_drawn(docs, table(spark, sf_dir, "labels"), importance.Settings(reject_toxic=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,14 @@ def test_importance_odd_rows(spark, labelled):
     assert importance.classify(docs.limit(20), labels.limit(0)).filter("kept").count() == 20
 
 
+def test_importance_rejects_toxic(labelled):
+    docs, labels, truth = labelled
+    kept = {r.doc_id: r.kept for r in importance.classify(docs, labels, importance.Settings(reject_toxic=True)).collect()}
+    toxic, clean = [i for i, (q, t) in truth.items() if q == t == 1], [i for i, (q, t) in truth.items() if q == 1 and t == 0]
+    assert sum(not kept[i] for i in toxic) / len(toxic) > 0.5
+    assert sum(kept[i] for i in clean) / len(clean) > 0.97
+
+
 def test_rules(labelled):
     docs, labels, truth = labelled
     got = rules.judge(docs, labels).collect()
