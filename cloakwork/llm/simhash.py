@@ -52,17 +52,23 @@ def fingerprint(text: str, shingle: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def _prints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch], shingle: int, kept: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: dict[str, int] = {}
         out = [seen[t] if t in seen else seen.setdefault(t, fingerprint(t, shingle)) for t in texts(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.array(out, np.uint64).view(np.int64))], [*kept, "fp"])
 
 
-def fingerprints(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, fp as a signed long).  Null or empty texts have fingerprint zero."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, _prints, "doc_id long, fp long", settings.shingle)
+def _row_key() -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def fingerprints(docs: DataFrame, settings: Settings = Settings(), keyed: bool = False) -> DataFrame:
+    """(doc_id, fp as a signed long), with ``keyed`` row_key too.  Null or empty texts have fingerprint zero."""
+    kept = ["doc_id", "row_key"] if keyed else ["doc_id"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([_row_key().alias("row_key")] if keyed else []), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, _prints, "".join(f"{c} long, " for c in kept) + "fp long", settings.shingle, kept)
 
 
 def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -230,9 +236,18 @@ def report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One document of each group, that of the smallest id, with all its columns."""
-    found = classes(docs, settings)
-    keep = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("times"))
-    out = docs.join(keep, F.col("doc_id") == F.col("keep_id"))
-    once = out.filter("times = 1").select(*docs.columns)
-    return once.union(out.filter("times > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each group, that of the smallest id, with all its columns.
+
+    Rows are told apart by id and text, so an id may stand on several texts.  A null id comes after all
+    others and is kept if its group has no other; of equal rows one is kept.
+    """
+    rows = staged(fingerprints(docs, settings, keyed=True), "prints")
+    alike = rows.groupBy("fp", "doc_id", "row_key").agg(F.count("*").alias("times"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "times")
+    prints = staged(alike.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    root = components(links(prints.select("fp"), settings))
+    heads = prints.join(root, prints.fp == root.u, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    keep = heads.select(F.col("first.doc_id").alias("keep_id"), F.col("first.row_key").alias("keep_key"), F.col("first.times").alias("keep_times"))
+    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (_row_key() == F.col("keep_key")))
+    once = out.filter("keep_times = 1").select(*docs.columns)
+    return once.union(out.filter("keep_times > 1").dropDuplicates(["keep_id", "keep_key"]).select(*docs.columns))

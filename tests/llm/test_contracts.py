@@ -74,6 +74,14 @@ def test_simhash(docs):
     assert kept == sorted(set(find(i) for i in ids))
 
 
+def test_keep_first_chooses_rows(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (5, c), (5, d), (5, d), (None, d), (7, e), (6, e), (6, a + " ")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text.strip()) for r in got) == Counter([(6, a), (None, b), (5, c), (5, d), (6, e)])
+
+
 def test_simhash_close_codes(spark):
     rng = random.Random(5)
     codes = [0, 2**64 - 1]
