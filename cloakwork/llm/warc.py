@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, scratch_path, staged
@@ -221,18 +221,22 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, s: Settings) -> Itera
         yield close()
 
 
+def _sha() -> Column:
+    return F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+
+
 def first_copies(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a page of a smaller id has."""
+    """(copy_id, copy_sha, refers_to) of the pages whose payload a page of a smaller id has."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    narrow = pages.select("page_id", F.sha1(payload).alias("sha"), F.length(payload).alias("n")).filter(F.col("n") >= settings.revisit_from)
+    narrow = pages.select("page_id", _sha().alias("sha"), F.length(payload).alias("n")).filter(F.col("n") >= settings.revisit_from)
     first = narrow.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    return narrow.join(first, "sha").filter("page_id <> refers_to").select(F.col("page_id").alias("copy_id"), "refers_to").distinct()
+    return narrow.join(first, "sha").filter("page_id <> refers_to").select(F.col("page_id").alias("copy_id"), F.col("sha").alias("copy_sha"), "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str, settings: Settings = Settings()) -> DataFrame:
     """Archives of all pages; the list of their files (path, records, bytes).  A null html is an empty payload."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.join(first_copies(rows, settings), F.col("page_id") == F.col("copy_id"), "left").select("page_id", "url", "html", "refers_to")
+    rows = rows.join(first_copies(rows, settings), (F.col("page_id") == F.col("copy_id")) & (_sha() == F.col("copy_sha")), "left").select("page_id", "url", "html", "refers_to")
     return staged(map_batches(rows, _write, "path string, records long, bytes long", folder, settings), "archives")
 
 

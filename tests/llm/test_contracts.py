@@ -161,6 +161,14 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_repeated_ids(spark):
+    rows = [(3, "u", "A"), (7, "v", "A"), (7, "v", "B"), (2, "w", "C"), (8, "x", "A"), (8, "x", "C")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(3, "A", "response", None), (7, "A", "revisit", 3), (7, "B", "response", None), (2, "C", "response", None), (8, "A", "revisit", 3), (8, "C", "revisit", 2)]
+    sha = {x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode() for x in "ABC"}
+    assert Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in got) == Counter((i, sha[x], k, f) for i, x, k, f in want)
+
+
 def test_warc_salvage():
     import io
 
