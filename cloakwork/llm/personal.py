@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checks import IBAN_LENGTHS
 from .common import map_batches, texts
 
 #: Fixed by the query's contract.
@@ -22,9 +23,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: The method's own kinds.
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+IBAN_REST = {x[:2]: re.compile(rf"(?:\x20?[A-Z0-9]){{{int(x[2:]) - 4}}}(?![A-Za-z0-9])") for x in IBAN_LENGTHS.split()}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?[\"']?([A-Za-z0-9_-]{16,})")
+SECRET = re.compile(r"(?<![A-Za-z0-9])(?i:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?[\"']?([A-Za-z0-9_-]{16,})")
 DIGIT = re.compile("[0-9]")
 #: Words that speak for a kind when they stand near, and that speak against.
 FOR = {
@@ -58,6 +60,17 @@ def mod97(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers of their country's length that pass mod 97; what follows them is left out."""
+    free = 0
+    for m in IBAN.finditer(text):
+        rest = IBAN_REST.get(m[0][:2]) if m.start() >= free else None
+        end = rest.match(text, m.end()) if rest else None
+        if end and mod97(text[m.start() : end.end()]):
+            free = end.end()
+            yield m.start(), free
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches, found from each @ outwards: a run without @ is passed only once."""
     free, at = 0, text.find("@")
@@ -93,7 +106,7 @@ def find(text: str, s: Settings = Settings()) -> list[tuple[str, int, int, float
                 out.append(("card", *m.span()))
         if "+" in text:
             out += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(DIGIT.findall(m[0])) <= 15]
-        out += [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0])]
+        out += [("iban", a, b) for a, b in ibans(text)]
         if "-" in text:
             out += [("ssn", *m.span()) for m in SSN.finditer(text)]
     if "=" in text or ":" in text:

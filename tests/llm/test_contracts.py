@@ -248,6 +248,14 @@ def test_personal(docs):
         assert ",".join(f"{k}:{a}:{b}" for k, a, b in base) == want(t)[-1], t
 
 
+def test_personal_ends_of_own_kinds():
+    for text, value in (("DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000"), ("to DE89 3704 0044 0532 0130 00 EUR 250", "DE89 3704 0044 0532 0130 00"), ("NO93 8601 1117 947 X", "NO93 8601 1117 947")):
+        assert [text[a:b] for k, a, b, _ in personal.find(text) if k == "iban"] == [value]
+    assert not [x for x in personal.find("DE89370400440532013001 and DE893704004405320130001") if x[0] == "iban"]
+    for name in ("access_token=", "client_secret: "):
+        assert [x[0] for x in personal.find(name + "a1B2c3D4e5F6g7H8i9")] == ["secret"]
+
+
 def test_tokens(spark, docs):
     df, rows = docs
     from tokenizers import Tokenizer
