@@ -2,7 +2,8 @@
 
 Each page's containers are scored by the running text they hold.  In Spark the scores are votes for
 generalised tag-and-class paths of the page's host; every page is then read again along its host's
-winning path, or along its own best one if it lacks that.
+winning path, or along its own best one if it lacks that.  Votes favour the container next to the text, so
+the path is widened on each page to what holds the rest of the same text.
 """
 
 from __future__ import annotations
@@ -43,11 +44,15 @@ TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 @dataclass(frozen=True)
 class Settings:
     """``parent_share``: of a block's score, what the container around the nearest one gets.
-    ``depth``: steps of a path that are kept, from the innermost; deeper open elements add no step."""
+    ``depth``: steps of a path that are kept, from the innermost; deeper open elements add no step.
+    ``running``: characters from which a block is running text.
+    ``section``: of the score of what is held already, what a section beside it must score to belong to it."""
 
     parent_share: float = 0.5
     depth: int = 12
     open_elements: int = 512
+    running: int = 60
+    section: float = 0.2
 
 
 def pieces(source: str) -> Iterator[tuple[str, str, str]]:
@@ -174,12 +179,36 @@ def scores(found: list[tuple[str, int, tuple[str, ...]]], s: Settings) -> dict[s
     """Votes of a page: running text for the container that holds it, a share for the one around."""
     out: dict[str, float] = {}
     for text, linked, paths in found:
-        worth = max(0.0, len(text) - 2.0 * linked) + 10.0 * text.count(",")
+        worth = _worth(text, linked)
         for path, share in zip(paths[:-3:-1], (1.0, s.parent_share)):
             out[path] = out.get(path, 0.0) + share * worth
     return out
 
 
+def _worth(text: str, linked: int) -> float:
+    return max(0.0, len(text) - 2.0 * linked) + 10.0 * text.count(",")
+
+
+def widened(found: list[tuple[str, int, tuple[str, ...]]], path: str, s: Settings) -> str:
+    """The outermost article or main around the path; without one, the outermost container that adds only
+    headings, sections and other running text to it."""
+    chain = next((paths[: paths.index(path) + 1] for _, _, paths in found if path in paths), ())
+    tags = [re.split("[.]", x.rsplit("/", 1)[-1])[0] for x in chain]
+    for x, tag in zip(chain, tags):
+        if tag in ("article", "main"):
+            return x
+    for x, tag in zip(chain[-2::-1], tags[-2::-1]):
+        inside = [b for b in found if path in b[2]]
+        added = [b for b in found if x in b[2] and path not in b[2]]
+        linked, size = sum(b[1] for b in added), sum(len(b[0]) for b in added)
+        running = sum(len(b[0]) for b in added if len(b[0]) >= s.running)
+        large = sum(_worth(*b[:2]) for b in added) >= s.section * sum(_worth(*b[:2]) for b in inside)
+        if 3 * linked > size or (tag in ("body", "center", "tbody", "table") or large) and added and not (large and running >= 0.7 * size):
+            break
+        path = x
+    return path
+
+
 def host_of(url: str) -> str:
     m = re.match(r"[a-zA-Z][-+.a-zA-Z0-9]*://(?:[^/?#@]*@)?([^/?#:]*)", url)
     return re.sub(r"^www\.", "", m[1].lower()) if m else ""
@@ -189,7 +218,8 @@ def main_text(source: str, winner: str | None, s: Settings = Settings()) -> str:
     """The blocks inside the winning path, or inside the page's own best, joined by line ends."""
     found = blocks(source, s)
     for path in (winner, max(sorted(own), key=own.get) if (own := scores(found, s)) else None):
-        inside = [text for text, _, paths in found if path in paths] if path else []
+        at = widened(found, path, s) if path else ""
+        inside = [text for text, _, paths in found if at in paths] if at else []
         if inside:
             return "\n".join(inside)
     return "\n".join(text for text, _, _ in found)

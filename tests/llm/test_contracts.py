@@ -363,3 +363,18 @@ def test_pages(spark):
     assert got[90].text == "" and got[91].text == "" and got[92].text == "just text & more" and got[93].text == "only, this one" and got[96].text == "deep, text"
     assert all(r.n_chars == len(r.text) for r in got.values()) and len(got) == len(rows)
     assert pages.extract(df.limit(0)).count() == 0
+
+
+def test_pages_split_articles():
+    long = [f"Sentence {i} of the text, long enough to count as running text, with commas, and more of it." for i in range(8)]
+    para = ["".join(f"<p>{x}</p>" for x in part) for part in (long[:3], long[3:])]
+    frame = "<html><body><nav><a href=/>Menu, item</a></nav>{}<div class=comments><p>A reader, says, things.</p></div><footer>me</footer></body></html>"
+    for inner, want in (
+        (f"<article><h1>Title</h1><div class=body>{para[0]}{para[1]}</div></article>", ["Title", *long]),
+        (f"<article><div class=intro>{para[0]}</div><div class=text>{para[1]}</div></article>", long),
+        (f"<div class=post><h1>Title</h1><div class=body>{para[0]}{para[1]}</div></div>", ["Title", *long]),
+        (f"<section class=a>{para[0]}</section><section class=b>{para[1]}</section>", long),
+    ):
+        assert pages.main_text(frame.format(inner), None).split("\n") == want, inner
+    menu = "<div class=box><ul>" + "<li><a href=/x>Somewhere else</a></li>" * 5 + f"</ul><div class=body>{para[0]}{para[1]}</div></div>"
+    assert pages.main_text(frame.format(menu), None).split("\n") == long
