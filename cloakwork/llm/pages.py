@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +45,8 @@ TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 @dataclass(frozen=True)
 class Settings:
     """``parent_share``: of a block's score, what the container around the nearest one gets.
-    ``depth``: steps of a path that are kept, from the innermost; deeper open elements add no step.
+    ``depth``: steps of a path that are kept, from the innermost.
+    ``open_elements``: beyond so many, inline elements are only counted and containers belong to the path of the outer one.
     ``running``: characters from which a block is running text.
     ``section``: of the score of what is held already, what a section beside it must score to belong to it."""
 
@@ -116,19 +118,27 @@ def _skips(tag: str, names: dict[str, str]) -> bool:
 def blocks(source: str, s: Settings) -> list[tuple[str, int, tuple[str, ...]]]:
     """(text, of which characters in links, paths of the containers around it, innermost last) in page order."""
     out: list[tuple[str, int, tuple[str, ...]]] = []
-    stack: list[tuple[str, str | None, bool]] = []  # tag, path if it is a container, whether it is left out
+    stack: list[tuple[str, str | None, bool, int]] = []  # tag, path if it is a container, whether it is left out, place of the nearest block
+    held: list[str] = []  # paths in the stack
+    opened: Counter[str] = Counter()  # tags in the stack
+    over: Counter[str] = Counter()  # inline tags that were only counted
     words, linked = [], 0
 
     def flush() -> None:
         nonlocal words, linked
         text = " ".join("".join(words).split())
         if text:
-            out.append((text, linked, tuple(x[1] for x in stack if x[1])))
+            out.append((text, linked, tuple(held)))
         words, linked = [], 0
 
     def shut(upto: int) -> None:
-        if any(x[0] in BLOCK for x in stack[upto:]):
+        if stack[-1][3] >= upto:
             flush()
+            over.clear()
+        for tag, path, _, _ in stack[upto:]:
+            opened[tag] -= 1
+            if path:
+                held.pop()
         del stack[upto:]
 
     for kind, value, attributes in pieces(source):
@@ -136,10 +146,13 @@ def blocks(source: str, s: Settings) -> list[tuple[str, int, tuple[str, ...]]]:
             if not (stack and stack[-1][2]):
                 text = entities.unescape(value)
                 words.append(text)
-                if any(x[0] == "a" for x in stack[-8:]):
+                if over["a"] or any(x[0] == "a" for x in stack[-8:]):
                     linked += len(text)
         elif kind == "close":
-            for i in range(len(stack) - 1, -1, -1):
+            if over[value]:
+                over[value] -= 1
+                continue
+            for i in range(len(stack) - 1, -1, -1) if opened[value] else ():
                 if stack[i][0] == value:
                     shut(i)
                     break
@@ -150,27 +163,27 @@ def blocks(source: str, s: Settings) -> list[tuple[str, int, tuple[str, ...]]]:
                     flush()
         else:
             if value in BLOCK:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or stack[i][0] in CLOSES.get(value, ()):
-                        shut(i)
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
+                i = stack[-1][3] if stack else -1
+                if i >= 0 and (stack[i][0] == "p" or stack[i][0] in CLOSES.get(value, ())):
+                    shut(i)
                 flush()
             if value == "br":
                 words.append(" ")
             if value in VOID or attributes.endswith("/") and value not in BLOCK and value not in RAW:
                 continue
-            if len(stack) >= s.open_elements and value not in RAW:
-                continue
             names = _names(attributes)
             skips = bool(stack and stack[-1][2]) or _skips(value, names)
+            if len(stack) >= s.open_elements and value not in BLOCK and (not skips or stack[-1][2]):
+                over[value] += value not in RAW
+                continue
             path = None
-            if value in CONTAINER and not skips:
+            if value in CONTAINER and not skips and len(held) < s.open_elements:
                 first = sorted(re.sub("[0-9]+", "#", w.lower()) for w in names.get("class", "").split())[:3]
-                above = next((x[1] for x in reversed(stack) if x[1]), "")
+                above = held[-1] if held else ""
                 path = "/".join([*filter(None, above.split("/")), ".".join([value, *first]).replace("/", "_")][-s.depth :])
-            stack.append((value, path, skips))
+                held.append(path)
+            opened[value] += 1
+            stack.append((value, path, skips, len(stack) if value in BLOCK else stack[-1][3] if stack else -1))
     flush()
     return out
 

@@ -378,3 +378,12 @@ def test_pages_split_articles():
         assert pages.main_text(frame.format(inner), None).split("\n") == want, inner
     menu = "<div class=box><ul>" + "<li><a href=/x>Somewhere else</a></li>" * 5 + f"</ul><div class=body>{para[0]}{para[1]}</div></div>"
     assert pages.main_text(frame.format(menu), None).split("\n") == long
+
+
+def test_pages_many_open_elements():
+    long = [f"Sentence {i} of the text, long enough to count as running text, with commas, and more of it." for i in range(6)]
+    body = "<div class=part><p>" + "</p></div><div class=part><p>".join(long) + "</p></div>"
+    for before in ("<div>" * 600 + "x" + "</div>" * 600, "<font>" * 600, "<b><span>" * 400):
+        page = f"<html><body><article>{before}{body}<nav><p>Menu, of, the, site</p></nav><div class=comments><p>A reader, says.</p></div><p>The end, of it.</p></article><footer>me</footer></body></html>"
+        got = pages.main_text(page, None).split("\n")
+        assert [x for x in got if x != "x"] == [*long, "The end, of it."]
