@@ -1,7 +1,8 @@
 """WARC archives: a writer with revisit records and a reader that salvages damaged files.
 
-Each record is a gzip member of its own.  When a member or record fails its checks, the reader looks
-for the next place that parses as one, goes on from there, and reports the bytes between as a gap.
+Each record is written as a gzip member of its own.  The reader takes members of any number of records and
+yields each record as soon as it has parsed.  When a member or record fails its checks, the reader looks for the
+next member or version line, inside the inflated bytes too, goes on from there, and reports the bytes between as a gap.
 """
 
 from __future__ import annotations
@@ -18,19 +19,21 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_batches, scratch_path, staged
 from .wavelet import put
 
 GZIP, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/[01]\.\d\r?\n")
-READ_BYTES = 1 << 20
+READ_BYTES, INFLATE_BYTES = 1 << 20, 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 @dataclass(frozen=True)
 class Settings:
     """``revisit_from``: payloads of so many bytes at least are stored once.  ``file_bytes``: an archive
-    is closed at this size.  ``record_bytes``: a longer record counts as damage, which bounds memory."""
+    is closed at this size.  ``record_bytes``: of a longer record the body is measured and digested as it streams
+    past, but not held."""
 
     revisit_from: int = 0
     file_bytes: int = 32 << 20
@@ -44,14 +47,23 @@ class Record:
     headers: dict[str, str]
     block: bytes
     gap: str = field(default="")
+    body: tuple[int, str] | None = None  # size and digest of a payload that was not held
 
 
 class Damaged(Exception):
     pass
 
 
+class Broken(Damaged):
+    """A gzip member that can't be inflated any further."""
+
+
+def _base32(data: bytes) -> str:
+    return base64.b32encode(data).decode()
+
+
 def digest(data: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+    return _base32(hashlib.sha1(data).digest())
 
 
 def record(kind: str, record_id: str, uri: str, block: bytes, **headers: str) -> bytes:
@@ -88,102 +100,186 @@ class _Bytes:
         self.at += n
 
 
-def parse(data: bytes, offset: int, length: int) -> tuple[Record, int]:
-    """The record at the start of ``data`` and where it ends."""
-    if not VERSION.match(data):
-        raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        raise Damaged("headers don't end")
-    headers: dict[str, str] = {}
-    for line in data[:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+class _Inflated(_Bytes):
+    """A gzip member at the start of another source, inflated on demand.
+
+    Compressed bytes stay held until the records made of them are sound, so that a search for the next member can
+    begin behind the last sound record."""
+
+    def __init__(self, source: _Bytes):
+        super().__init__(None)
+        self.source, self.inflate, self.used, self.before, self.start = source, zlib.decompressobj(31), 0, 0, source.at
+
+    def more(self) -> bool:
+        if self.inflate.eof:
+            self.ended = True
+        while not self.ended:
+            if self.used >= len(self.source.held) and not self.source.more():
+                raise Broken("cut short")
+            piece = bytes(self.source.held[self.used : self.used + INFLATE_BYTES])
+            try:
+                new = self.inflate.decompress(piece, 16 * INFLATE_BYTES)
+            except zlib.error as e:
+                raise Broken("gzip check") from e
+            rest = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            self.before, self.used = self.used, self.used + len(piece) - len(rest)
+            self.held += new
+            self.ended = self.inflate.eof
+            if new:
+                return True
+        return False
+
+    def sound(self) -> None:
+        """Let go what the records so far were made of, but for the last piece."""
+        self.source.drop(self.before)
+        self.used, self.before = self.used - self.before, 0
+
+    def length(self) -> int:
+        return self.source.at + self.used - self.start
+
+
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    """Named fields; a line that begins with white space goes on with the one before."""
+    out, name = {}, ""
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and name:
+            out[name] += " " + line.decode("utf-8", "replace").strip()
+            continue
+        key, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("a header without colon")
-        headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    size = headers.get("content-length", "")
-    if not size.isdigit():
-        raise Damaged("no content length")
-    block, tail = data[end + 4 : end + 4 + int(size)], end + 4 + int(size)
-    if len(block) < int(size) or data[tail : tail + 4] != b"\r\n\r\n":
-        raise Damaged("block and content length differ")
-    said = headers.get("warc-block-digest", "")
-    if said.startswith("sha1:") and said[5:] != digest(block):
-        raise Damaged("block digest differs")
-    return Record(offset, length, headers, bytes(block)), tail + 4
+        name = key.decode("latin-1").strip().lower()
+        out[name] = value.decode("utf-8", "replace").strip()
+    return out
 
 
-def _member(source: _Bytes, limit: int) -> tuple[bytes, int]:
-    """The gzip member at the source's start, inflated, and its length."""
-    inflate, out, size, pos = zlib.decompressobj(31), [], 0, 0
-    while not inflate.eof:
-        if pos >= len(source.held) and not source.more():
-            raise Damaged("cut short")
-        piece = bytes(source.held[pos : pos + READ_BYTES])
-        pos += len(piece)
-        try:
-            out.append(inflate.decompress(piece))
-        except zlib.error as e:
-            raise Damaged("gzip check") from e
-        size += len(out[-1])
-        if size > limit:
-            raise Damaged("too long")
-    return b"".join(out), pos - len(inflate.unused_data)
-
-
-def _plain(source: _Bytes, limit: int) -> tuple[Record, int]:
-    """The uncompressed record at the source's start."""
-    while (end := source.held.find(b"\r\n\r\n")) < 0:
-        if len(source.held) > 1 << 20 or not source.more():
+def take(source: _Bytes, limit: int) -> tuple[Record, int]:
+    """The record at the source's start, and how many bytes to pass; a body over the limit has been passed already."""
+    source.want(16)
+    if not VERSION.match(source.held):
+        raise Damaged("no version line")
+    seen = 0
+    while (end := source.held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+        seen = len(source.held)
+        if seen > limit or not source.more():
             raise Damaged("headers don't end")
-    size = re.search(rb"\ncontent-length:\s*(\d+)", bytes(source.held[:end]), re.I)
-    if not size or int(size[1]) > limit:
+    headers = _headers(bytes(source.held[:end]).split(b"\r\n")[1:])
+    said, digits = headers.get("warc-block-digest", ""), headers.get("content-length", "")
+    if not digits.isascii() or not digits.isdigit():
         raise Damaged("no content length")
-    source.want(end + 8 + int(size[1]))
-    total = end + 8 + int(size[1])
-    return parse(bytes(source.held[:total]), source.at, total)
+    if not headers.get("warc-record-id") or not headers.get("warc-type"):
+        raise Damaged("no record id or type")
+    size, at = int(digits), end + 4
+    if size <= limit:
+        if not source.want(at + size + 4) or source.held[at + size : at + size + 4] != b"\r\n\r\n":
+            raise Damaged("block and content length differ")
+        block = bytes(source.held[at : at + size])
+        if said.startswith("sha1:") and said[5:] != digest(block):
+            raise Damaged("block digest differs")
+        return Record(source.at, 0, headers, block), at + size + 4
+    source.drop(at)
+    source.want(min(size, READ_BYTES))
+    head = bytes(source.held[: min(size, READ_BYTES)])
+    head = head[: head.find(b"\r\n\r\n") + 4] if b"\r\n\r\n" in head else b""
+    whole, body, left = hashlib.sha1(), hashlib.sha1(), size
+    while left and source.want(1):
+        chunk = bytes(source.held[: min(left, READ_BYTES)])
+        skip = max(0, len(head) - (size - left))
+        whole.update(chunk)
+        body.update(chunk[skip:])
+        left -= len(chunk)
+        source.drop(len(chunk))
+    if left or not source.want(4) or source.held[:4] != b"\r\n\r\n":
+        raise Damaged("block and content length differ")
+    if said.startswith("sha1:") and said[5:] != _base32(whole.digest()):
+        raise Damaged("block digest differs")
+    return Record(source.at, 0, headers, head, "", (size - len(head), _base32(body.digest()))), 4
+
+
+def _seek(source: _Bytes, packed: bool) -> bool:
+    """Go to the next version line or, where ``packed``, gzip member.  False at the end."""
+    source.drop(1)
+    while True:
+        version, at = VERSION.search(source.held), source.held.find(GZIP) if packed else -1
+        starts = [x for x in (at, version.start() if version else -1) if x >= 0]
+        if starts:
+            source.drop(min(starts))
+            return True
+        source.drop(max(0, len(source.held) - 11))
+        if not source.more():
+            source.drop(len(source.held))
+            return False
+
+
+def _member(source: _Bytes, limit: int) -> Iterator[Record]:
+    """Records of the member at the source's start, as they parse, and gaps between them.  The last is held back
+    until the member has passed its own check, unless its digest speaks for it."""
+    inside, held, empty = _Inflated(source), None, True
+    start = source.at
+    try:
+        while inside.want(1):
+            empty, at, place = False, inside.at, inside.length()
+            try:
+                one, step = take(inside, limit)
+            except Broken:
+                raise
+            except Damaged as e:
+                more = _seek(inside, False)
+                if held:
+                    yield held
+                    held = None
+                yield Record(start + (place if at else 0), inside.length() - (place if at else 0), {}, b"", f"{e}, inflated bytes {at} to {inside.at}" if at or more else str(e))
+                continue
+            inside.drop(step)
+            if held:
+                yield held
+                inside.sound()
+            one.offset, one.length = start, inside.length()
+            held = one
+        if empty:
+            raise Damaged("an empty member")
+    except Broken:
+        if held and "warc-block-digest" in held.headers:
+            yield held
+            inside.sound()
+        raise
+    if held:
+        held.length = inside.length()
+        yield held
+    source.drop(inside.used)
 
 
 def read(file, limit: int = Settings().record_bytes) -> Iterator[Record]:
-    """Records of an archive in order; a record with ``gap`` set stands for bytes that gave none."""
+    """Records of an archive in order; a record with ``gap`` set stands for bytes that gave none.
+
+    Of a record in a member ``offset`` and ``length`` are the member's, as far as it had been read.  A body over the
+    limit that fails its check is lost as far as its content length reaches, as it isn't held.
+    """
     source, lost, why = _Bytes(file), None, ""
     while source.want(1):
         source.want(16)
+        at = source.at
         try:
             if source.held.startswith(GZIP):
-                data, length = _member(source, limit)
-                got, pos = [], 0
-                while pos < len(data):
-                    one, step = parse(data[pos:] if pos else data, source.at, length)
-                    got.append(one)
-                    pos += step
-                if not got:
-                    raise Damaged("an empty member")
+                for one in _member(source, limit):
+                    if lost is not None:
+                        yield Record(lost, at - lost, {}, b"", why)
+                        lost = None
+                    yield one
             elif VERSION.match(source.held):
-                one, length = _plain(source, limit)
-                got = [one]
+                one, step = take(source, limit)
+                source.drop(step)
+                if lost is not None:
+                    yield Record(lost, at - lost, {}, b"", why)
+                    lost = None
+                one.offset, one.length = at, source.at - at
+                yield one
             else:
                 raise Damaged("neither member nor version line")
         except Damaged as e:
             if lost is None:
                 lost, why = source.at, str(e)
-            source.drop(1)
-            while True:  # to the next place that looks like a start
-                version, packed = VERSION.search(source.held), source.held.find(GZIP)
-                starts = [x for x in (packed, version.start() if version else -1) if x >= 0]
-                if starts:
-                    source.drop(min(starts))
-                    break
-                source.drop(max(0, len(source.held) - 11))
-                if not source.more():
-                    source.drop(len(source.held))
-                    break
-            continue
-        if lost is not None:
-            yield Record(lost, source.at - lost, {}, b"", why)
-            lost = None
-        yield from got
-        source.drop(length)
+            _seek(source, True)
     if lost is not None:
         yield Record(lost, source.at - lost, {}, b"", why)
 
@@ -257,10 +353,14 @@ def _read(batches: Iterator[pa.RecordBatch], s: Settings, bodies: bool) -> Itera
                 head, _, payload = r.block.partition(b"\r\n\r\n")
                 kind, said, note = r.headers.get("warc-type"), r.headers.get("warc-payload-digest", "").removeprefix("sha1:"), None
                 size = re.search(rb"\ncontent-length:\s*(\d+)", head, re.I)
-                n = int(size[1]) if size and kind == "revisit" else len(payload)
-                if kind == "response" and said and said != digest(payload):
+                n, sha = r.body or (len(payload), digest(payload))
+                if r.body:
+                    note = "payload not held: over the limit"
+                if kind == "response" and said and said != sha:
                     note = "payload digest differs"
-                yield path, r.offset, r.length, kind, r.headers.get("warc-record-id"), r.headers.get("warc-target-uri"), payload if bodies else None, n, said or digest(payload), r.headers.get("warc-refers-to"), note
+                if kind == "revisit":
+                    n, sha = int(size[1]) if size else n, said or sha
+                yield path, r.offset, r.length, kind, r.headers.get("warc-record-id"), r.headers.get("warc-target-uri"), payload if bodies and not r.body else None, n, sha, r.headers.get("warc-refers-to"), note
 
     for batch in batches:
         for path in batch.column("path").to_pylist():
@@ -275,9 +375,16 @@ def _read(batches: Iterator[pa.RecordBatch], s: Settings, bodies: bool) -> Itera
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
 
-def salvage(files: DataFrame, settings: Settings = Settings(), bodies: bool = True) -> DataFrame:
-    """Every record and every gap of the files in column path; an archive is read by one task, in pieces."""
-    return map_batches(files.select("path").repartition("path"), _read, READ_SCHEMA, settings, bodies)
+def dealt(files: DataFrame, most_parts: int) -> DataFrame:
+    """The files, one in each partition; beyond ``most_parts`` of them, several."""
+    listed = staged(files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("i")), "listed")
+    parts = max(1, min(listed.count(), most_parts))
+    return listed.repartitionById(parts, (F.col("i") % parts).cast("int")).select("path")
+
+
+def salvage(files: DataFrame, settings: Settings = Settings(), bodies: bool = True, most_parts: int = 100_000) -> DataFrame:
+    """Every record and every gap of the files in column path; each archive is read by a task of its own."""
+    return map_batches(dealt(files, most_parts), _read, READ_SCHEMA, settings, bodies)
 
 
 def gaps(records: DataFrame) -> DataFrame:
@@ -288,7 +395,8 @@ def gaps(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Pages written as archives and read back: what each page's record holds.
 
-    Pages that repeat an id are records each of their own; a null id has no place in the links.
+    Pages that repeat an id are records each of their own, copies of a page of a smaller id are revisits; a null id has
+    no place in the links and is always a response.  Other columns are not looked at; an empty table gives no rows.
     """
     files = write(pages, scratch_path(pages.sparkSession, "warc"), settings)
     got = salvage(files, settings, bodies=False).filter("kind in ('response', 'revisit')")
