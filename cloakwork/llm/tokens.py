@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from . import wavelet
@@ -31,12 +32,13 @@ _ENCODERS: dict[str, Encoder] = {}
 @dataclass(frozen=True)
 class Settings:
     """``tokenizer``: path of a tokenizers file.  ``end``: id after each document.  ``shard_rows``: documents
-    of a range, about; a shard file is closed at ``shard_tokens`` ids and holds whole documents."""
+    of a range, about, and ``parts`` ranges at most; a shard file is closed at ``shard_tokens`` ids and holds whole documents."""
 
     tokenizer: str
     end: int = 0
     shard_rows: int = 4096
     shard_tokens: int = SHARD_TOKENS
+    parts: int = 200_000
 
 
 def default_tokenizer() -> str:
@@ -190,30 +192,46 @@ def _shards(batches: Iterator[pa.RecordBatch], folder: str, s: Settings) -> Iter
 
 
 def write_shards(docs: DataFrame, settings: Settings, order: list[str] | None = None) -> DataFrame:
-    """The shards' list.  ``docs`` comes by doc_id or, with ``order``, by those columns; nulls first."""
-    by = order or ["doc_id"]
+    """The shards' list.  ``docs`` comes by doc_id and a hash of the text or, with ``order``, by those columns; nulls first."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in by if c != "doc_id"))
-    parts = max(1, min(-(-docs.count() // settings.shard_rows), 200_000))
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    keys = [F.col(c) for c in order] if order else [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))]
+    rows = docs.select(*own, *(k.alias(f"by{i}") for i, k in enumerate(keys)))
+    parts = max(1, min(-(-docs.count() // settings.shard_rows), settings.parts))
     small_batches(spark)
-    ranged = rows.repartitionByRange(parts, *(F.col(c).asc_nulls_first() for c in by)).sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in by))
+    by = [F.col(f"by{i}").asc_nulls_first() for i in range(len(keys))]
+    ranged = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
     folder = scratch_path(spark, "tokens")
     return staged(map_batches(ranged.select("doc_id", "text"), _shards, "part int, number int, path string, n_docs long, n_tokens long", folder, settings), "shards")
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files.
+def laid_out(shards: DataFrame, block: int = 1024) -> DataFrame:
+    """(i, path, base): each shard's number and the ids of all shards before it.
 
-    The driver sees one short row a shard file to lay the shards end to end.
+    Running sums over blocks of parts, then over the parts of a block, then over the shards of a part: no task or
+    driver sees all shards.
     """
-    spark = shards.sparkSession
-    rows = sorted((r.part, r.number, r.path, r.n_tokens) for r in shards.select("part", "number", "path", "n_tokens").collect())
-    base = np.concatenate([[0], np.cumsum([r[3] for r in rows], dtype=np.int64)])[:-1].tolist() if rows else []
-    listed = spark.createDataFrame([(i, r[2], b) for i, (r, b) in enumerate(zip(rows, base, strict=True))], "i long, path string, base long")
-    listed = listed.repartitionById(max(1, len(rows)), F.col("i").cast("int")).select("path", "base")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    parts = shards.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("ids")).withColumn("block", F.floor(F.col("part") / block))
+    blocks = parts.groupBy("block").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+    blocks = blocks.select("block", before("n", Window.orderBy("block")).alias("n0"), before("ids", Window.orderBy("block")).alias("ids0"))
+    of_block = Window.partitionBy("block").orderBy("part")
+    parts = parts.select("block", "part", before("n", of_block).alias("n1"), before("ids", of_block).alias("ids1")).join(blocks, "block")
+    parts = parts.select("part", (F.col("n0") + F.col("n1")).alias("n_before"), (F.col("ids0") + F.col("ids1")).alias("ids_before"))
+    of_part = Window.partitionBy("part").orderBy("number")
+    rows = shards.select("part", "path", (F.row_number().over(of_part) - 1).alias("at"), before("n_tokens", of_part).alias("ids")).join(parts, "part")
+    return rows.select((F.col("n_before") + F.col("at")).alias("i"), "path", (F.col("ids_before") + F.col("ids")).alias("base"))
+
+
+def read_shards(shards: DataFrame, most_parts: int = 200_000) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files: a shard a task, beyond ``most_parts`` several."""
+    parts = max(1, min(shards.count(), most_parts))
+    listed = staged(laid_out(shards), "laid")
+    listed = listed.repartitionById(parts, (F.col("i") % parts).cast("int")).select("path", "base")
     return listed.mapInArrow(wavelet.read_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def report(docs: DataFrame, settings: Settings, order: list[str] | None = None) -> DataFrame:
-    """Null texts are empty and hold the end id alone; rows that repeat an id follow each other."""
+    """Null texts are empty and hold the end id alone.  Null ids come first; rows that repeat an id follow each other,
+    by a hash of their texts.  Other columns are not looked at; an empty table gives no rows."""
     return read_shards(write_shards(docs, settings, order))
