@@ -3,13 +3,14 @@
 Equal windows must meet in one shard without every shard being searched for every document.  So a
 window is sent by its minimizer, the smallest hash of the word groups inside it: consecutive windows
 whose minimizer stands at one place form a segment.  A minimizer seen once can't belong to a repeated window.  Of the
-others, equal segments are folded into one with a count; the distinct ones are indexed per shard, and
-all their windows are searched there, backwards, for a second occurrence.
+others, equal segments are folded into one with a count; the distinct ones are indexed per shard with their counts,
+and all windows of all of them are streamed through the index, backwards: what it counts twice or more is repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,21 +21,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_batches, mix64, staged, texts
+from .common import map_batches, mix64, scratch_path, staged, texts
 from .fmindex import Index
+from .wavelet import get, put
 
 
 @dataclass(frozen=True)
 class Settings:
     """``window``: words that must repeat.  ``gram``: words of a minimizer.  ``segment``: windows of a segment
     at most.  ``shard_words``: words of an index, about.  ``hot``: a minimizer with more distinct segments
-    is split into single windows, which are folded and dealt out by their own hashes."""
+    is split into single windows, which are folded and dealt out by their own hashes.  ``small``: fewer words are one
+    shard, more are twelve at least.  ``most_shards``: beyond them shards grow; results are the same at every size."""
 
     window: int = 35
     gram: int = 6
     segment: int = 256
     shard_words: int = 500_000
     hot: int = 2_048
+    small: int = 50_000
+    most_shards: int = 200_000
 
 
 def split(text: str) -> list[bytes]:
@@ -46,7 +51,7 @@ FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0
 INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-PIECE_BYTES = 1 << 20
+PIECE_BYTES, STREAMED = 1 << 20, 1 << 16
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -165,19 +170,29 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.int64())) for c, k in zip(zip(*rows), names, strict=True)], names)
 
 
-def _solve(rows: pa.RecordBatch, s: Settings) -> pa.RecordBatch:
-    """Index a shard's segments and search their windows: (mh, key, runs of repeated windows) of those that have some."""
+def _solve(rows: pa.RecordBatch, folder: str, s: Settings) -> Iterator[pa.RecordBatch]:
+    """Index a shard's segments in a file and stream their windows through it: (mh, key, runs of repeated windows) of
+    those that have some.  A segment that stands for several is held once with its count."""
     words = pc.split_pattern(rows.column("words"), b" ")
     edges, flat = words.offsets.to_numpy().astype(np.int64), words.flatten().dictionary_encode()
     edges = edges - edges[0]
     size, n = np.diff(edges), len(rows)
     first = edges[:-1] + np.arange(n) + 1  # a zero stands before each segment and at the end
-    symbols = np.zeros(len(flat) + n + 1, np.int64)
-    symbols[np.arange(len(flat)) + np.repeat(np.arange(n) + 1, size)] = flat.indices.to_numpy().astype(np.int64) + 1
-    index, count = Index(symbols, s.window), size - s.window + 1
-    many = rows.column("times").to_numpy() > 1
-    again = np.repeat(many, count)
-    again[~again] = index.repeated(first[~many] + s.window - 1, count[~many], s.window)
+    symbols, times = np.zeros(len(flat) + n + 1, np.int64), np.ones(len(flat) + n + 1, np.int64)
+    inside = np.arange(len(flat)) + np.repeat(np.arange(n) + 1, size)
+    symbols[inside] = flat.indices.to_numpy().astype(np.int64) + 1
+    times[inside] = np.repeat(rows.column("times").to_numpy(), size)
+    path = f"{folder}/{uuid.uuid4().hex}.cwfm"
+    put(path, Index.build(symbols, times, 1 << s.window.bit_length()).save(flat.dictionary))
+    index, _ = Index.load(get(path))
+    count = size - s.window + 1
+    for lo in range(0, n, STREAMED):
+        part = slice(lo, lo + STREAMED)
+        yield _runs(rows.slice(lo, STREAMED), index.repeated(symbols, first[part], count[part], s.window), count[part])
+
+
+def _runs(rows: pa.RecordBatch, again: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """Marked windows of segments as ranges."""
     base = np.cumsum(count) - count
     head = np.zeros(len(again), bool)
     head[base] = True
@@ -192,7 +207,7 @@ def _solve(rows: pa.RecordBatch, s: Settings) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([rows.column("mh").take(at), rows.column("key").take(at), runs], ["mh", "key", "runs"])
 
 
-def _search(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], folder: str, s: Settings) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by shard; one shard is held at a time."""
     held, last = [], None
     for batch in batches:
@@ -200,12 +215,12 @@ def _search(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
         cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else [0]
         for i, j in zip(cut, cut[1:]):
             if held and shard[i] != last:
-                yield _solve(pa.concat_batches(held), s)
+                yield from _solve(pa.concat_batches(held), folder, s)
                 held = []
             last = shard[i]
             held.append(batch.slice(i, j - i))
     if held:
-        yield _solve(pa.concat_batches(held), s)
+        yield from _solve(pa.concat_batches(held), folder, s)
 
 
 def _remove(batches: Iterator[pa.RecordBatch], s: Settings, digest: bool) -> Iterator[pa.RecordBatch]:
@@ -239,7 +254,7 @@ def repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     spots = staged(spots.join(twice, "mh", "left_semi"), "segments")
     kinds = spots.groupBy("mh", "sh").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "at", "n")).alias("x"))
     kinds = staged(kinds.select("mh", "sh", "times", "x.*"), "kinds")
-    crowded = kinds.groupBy("mh").count().filter(F.col("count") > s.hot).select(F.col("mh").alias("hot_mh"))
+    crowded = staged(kinds.groupBy("mh").count().filter(F.col("count") > s.hot).select(F.col("mh").alias("hot_mh")), "crowded")  # joined by its size: broadcast while small
     wanted = kinds.join(crowded, F.col("mh") == F.col("hot_mh"), "left").select("mh", "sh", "times", F.col("doc_id").alias("of"), F.col("th").alias("of_th"), "at", "n", F.col("hot_mh").isNotNull().alias("hot"))
     wanted = wanted.groupBy("of", "of_th").agg(F.collect_list(F.struct("mh", "sh", "times", "at", "n", "hot")).alias("wanted"))
     texts_of = rows.dropDuplicates(["doc_id", "th"]) if _has_copies(rows) else rows
@@ -247,10 +262,11 @@ def repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     words = staged(map_batches(words, _contents, "mh long, sh long, sub long, w int, times long, words binary", s), "contents")
     whole = words.filter("sub is null").select("mh", F.col("sh").alias("key"), "times", "words", F.lit(0).cast("long").alias("route"))
     single = words.filter("sub is not null").groupBy("mh", F.col("sub").alias("key")).agg(F.sum("times").alias("times"), F.min("words").alias("words")).withColumn("route", F.col("key"))
+    folder = scratch_path(docs.sparkSession, "indexes")
     total = kinds.agg(F.sum(F.col("n") + s.window)).first()[0] or 0
-    shards = int(min(200_000, max(1, -(-total // s.shard_words), *(() if total < 50_000 else (12,)))))
+    shards = int(min(s.most_shards, max(1, -(-total // s.shard_words), *(() if total < s.small else (12,)))))
     dealt = whole.union(single).withColumn("shard", F.pmod(F.xxhash64("mh", "route"), F.lit(shards)).cast("int"))
-    found = staged(map_batches(dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard"), _search, "mh long, key long, runs array<struct<lo: int, hi: int>>", s), "runs")
+    found = staged(map_batches(dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard"), _search, "mh long, key long, runs array<struct<lo: int, hi: int>>", folder, s), "runs")
     hot = words.filter("sub is not null").select("mh", "sh", "w", F.col("sub").alias("key")).join(found, ["mh", "key"]).groupBy("mh", "sh").agg(F.collect_list(F.struct(F.col("w").alias("lo"), (F.col("w") + 1).alias("hi"))).alias("runs"))
     plain = found.select("mh", F.col("key").alias("sh"), "runs").join(crowded, F.col("mh") == F.col("hot_mh"), "left_anti")
     marked = spots.join(plain.union(hot), ["mh", "sh"])

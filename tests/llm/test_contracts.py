@@ -328,21 +328,44 @@ def test_substrings(docs):
 
 def test_fm_index():
     import numpy as np
+    import pyarrow as pa
 
     from cloakwork.llm.fmindex import Index
 
     rng = np.random.default_rng(4)
-    for top, n, length in ((3, 400, 7), (50, 3000, 3), (2, 900, 12), (2, 5, 4)):
+    for top, n, length, depth in ((3, 400, 7, 8), (50, 3000, 3, 4), (2, 900, 12, 16), (2, 5, 4, 8)):
         text = np.concatenate([rng.integers(1, top, n), rng.integers(1, top, 30) if n > 30 else [1], [0]]).astype(np.int64)
-        text = np.concatenate([[0], text, text[-200:]])
-        ends = np.arange(length - 1, len(text))
-        grams = Counter(tuple(text[e - length + 1 : e + 1]) for e in ends)
-        ends = np.array([e for e in ends if 0 not in text[e - length + 1 : e + 1]])
-        want = [grams[tuple(text[e - length + 1 : e + 1])] > 1 for e in ends]
-        index = Index(text, length)
-        assert (index.matched(ends, length) == length).tolist() == want
-        new = np.flatnonzero(np.diff(ends, prepend=-9) != 1)
-        assert index.repeated(ends[new], np.diff(np.append(new, len(ends))), length).tolist() == want
+        text = np.concatenate([[0], text, text[-200:], rng.integers(1, top, 40), [0]]).astype(np.int64)
+        times = np.where((np.cumsum(text == 0) == text.tolist().count(0) - 1) & (text > 0), 3, 1)  # the last text stands for three
+        folded = np.flatnonzero(times > 1)
+        words = pa.array([f"w{i}" for i in range(int(text.max()))])
+        index, vocabulary = Index.load(Index.build(text, times, depth).save(words))
+        assert vocabulary.cast(pa.string()).equals(words)
+        stops = [i for i in range(len(text)) if text[i]]
+        grams = [Counter() for _ in range(depth + 1)]
+        for k in range(1, depth + 1):
+            for e in stops:
+                gram = tuple(text[e - k + 1 : e + 1])
+                if e - k + 1 >= 0 and 0 not in gram:
+                    grams[k][gram] += int(times[e - k + 1])
+        query = np.concatenate([text, [-1], rng.integers(1, top + 1, 50)])
+        query[query > text.max()] = -1
+        ends = np.flatnonzero(query > 0)
+        for least in (1, 2, 4):
+            want = []
+            for e in ends:
+                m = 0
+                while m < min(depth, e + 1) and query[e - m] > 0 and grams[m + 1][tuple(query[e - m : e + 1])] >= least:
+                    m += 1
+                want.append(m)
+            assert index.matched(query, ends, np.full(len(ends), depth), least).tolist() == want
+        starts = np.array([e - length + 1 for e in stops if e - length + 1 >= 0 and 0 not in text[e - length + 1 : e + 1]])
+        want = [grams[length][tuple(text[a : a + length])] > 1 for a in starts]
+        new = np.flatnonzero(np.diff(starts, prepend=-9) != 1)
+        assert index.repeated(text, starts[new], np.diff(np.append(new, len(starts))), length).tolist() == want
+        assert len(folded)
+    with pytest.raises(ValueError):
+        Index.load(Index.build(text, times, 4).save(words)[:-1])
 
 
 def test_pages(spark):
@@ -375,9 +398,9 @@ def test_pages_split_articles():
         (f"<div class=post><h1>Title</h1><div class=body>{para[0]}{para[1]}</div></div>", ["Title", *long]),
         (f"<section class=a>{para[0]}</section><section class=b>{para[1]}</section>", long),
     ):
-        assert pages.main_text(frame.format(inner), None).split("\n") == want, inner
+        assert pages.main_text(frame.format(inner)).split("\n") == want, inner
     menu = "<div class=box><ul>" + "<li><a href=/x>Somewhere else</a></li>" * 5 + f"</ul><div class=body>{para[0]}{para[1]}</div></div>"
-    assert pages.main_text(frame.format(menu), None).split("\n") == long
+    assert pages.main_text(frame.format(menu)).split("\n") == long
 
 
 def test_pages_many_open_elements():
@@ -385,5 +408,5 @@ def test_pages_many_open_elements():
     body = "<div class=part><p>" + "</p></div><div class=part><p>".join(long) + "</p></div>"
     for before in ("<div>" * 600 + "x" + "</div>" * 600, "<font>" * 600, "<b><span>" * 400):
         page = f"<html><body><article>{before}{body}<nav><p>Menu, of, the, site</p></nav><div class=comments><p>A reader, says.</p></div><p>The end, of it.</p></article><footer>me</footer></body></html>"
-        got = pages.main_text(page, None).split("\n")
+        got = pages.main_text(page).split("\n")
         assert [x for x in got if x != "x"] == [*long, "The end, of it."]
