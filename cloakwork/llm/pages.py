@@ -1,9 +1,9 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the running text they hold.  In Spark the scores are votes for
-generalised tag-and-class paths of the page's host; every page is then read again along its host's
-winning path, or along its own best one if it lacks that.  Votes favour the container next to the text, so
-the path is widened on each page to what holds the rest of the same text.
+Each page's containers are scored by the running text, the links and the texts they hold.  In Spark the scores are
+votes for generalised tag-and-class paths of the page's host: paths that hold most of the running text win, paths of
+links, of the same text on every page or of a telling name are left out.  Every page is then read again inside its
+innermost winning path, or its own best one if it lacks all, widened to what holds the rest of the same text.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_batches, staged, texts
 
@@ -28,6 +30,7 @@ BLOCK = frozenset(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+BROAD = ("body", "center", "table", "tbody")
 CONTAINER = frozenset("article body center div main section table tbody td tr".split())
 #: What isn't main text: elements, roles, and words of class and id names.
 SKIP_TAG = frozenset("head title nav header footer aside form script style noscript template iframe button select textarea svg canvas object dialog menu audio video".split())
@@ -44,17 +47,35 @@ TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """``parent_share``: of a block's score, what the container around the nearest one gets.
-    ``depth``: steps of a path that are kept, from the innermost.
-    ``open_elements``: beyond so many, inline elements are only counted and containers belong to the path of the outer one.
+    """``open_elements``: beyond so many, inline elements are only counted and containers belong to the outer one.
     ``running``: characters from which a block is running text.
-    ``section``: of the score of what is held already, what a section beside it must score to belong to it."""
+    ``share``: of the running text of the pages that have a path, what it must hold to be a winner.
+    ``minor``: a path with more of it than this is never boilerplate.
+    ``linked``: of a path's characters, how many in links make it boilerplate.
+    ``consensus``: pages on which the same text makes a path boilerplate.
+    ``section``: of the text of what is held already, what a section beside it must hold to belong to it only if ``prose`` of it is running text.
+    ``paths``: winners, and boilerplate paths, that a host hands to its pages at most, those of most pages; a page whose
+    paths aren't among them is judged on its own."""
 
-    parent_share: float = 0.5
-    depth: int = 12
     open_elements: int = 512
     running: int = 60
+    share: float = 0.5
+    minor: float = 0.3
+    linked: float = 0.5
+    consensus: int = 3
     section: float = 0.2
+    prose: float = 0.7
+    paths: int = 256
+
+
+@dataclass
+class Node:
+    """A container of a page: the outer one's place, its tag, its generalised path as a hash, whether its name tells boilerplate."""
+
+    above: int
+    tag: str
+    path: int
+    named: bool
 
 
 def pieces(source: str) -> Iterator[tuple[str, str, str]]:
@@ -108,18 +129,30 @@ def _names(attributes: str) -> dict[str, str]:
 
 
 def _skips(tag: str, names: dict[str, str]) -> bool:
-    if tag in SKIP_TAG or names.get("role", "").lower() in SKIP_ROLE or "hidden" in names or names.get("aria-hidden", "").lower() == "true":
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    return any(w.lower() in SKIP_NAME for k in ("class", "id") for w in TOKENS.findall(names.get(k, "")))
-
-
-def blocks(source: str, s: Settings) -> list[tuple[str, int, tuple[str, ...]]]:
-    """(text, of which characters in links, paths of the containers around it, innermost last) in page order."""
-    out: list[tuple[str, int, tuple[str, ...]]] = []
-    stack: list[tuple[str, str | None, bool, int]] = []  # tag, path if it is a container, whether it is left out, place of the nearest block
-    held: list[str] = []  # paths in the stack
+    return tag in SKIP_TAG or names.get("role", "").lower() in SKIP_ROLE or "hidden" in names or names.get("aria-hidden", "").lower() == "true"
+
+
+def _named(tag: str, names: dict[str, str]) -> bool:
+    return tag not in ("html", "body", "article", "main") and any(w.lower() in SKIP_NAME for k in ("class", "id") for w in TOKENS.findall(names.get(k, "")))
+
+
+def _step(tag: str, names: dict[str, str]) -> str:
+    """A tag with its first three classes by name or, without any, its id; digits are left open."""
+    general = lambda x: re.sub("[0-9]+", "#", x.lower())
+    classes = sorted(map(general, names.get("class", "").split()))[:3]
+    return ".".join([tag, *classes]) if classes else "#".join([tag, *filter(None, [general(names.get("id", ""))])])
+
+
+def _hash(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+def blocks(source: str, s: Settings) -> tuple[list[tuple[str, int, int]], list[Node]]:
+    """(text, of which characters in links, container) in page order, and the containers, outer ones first; the first is the page."""
+    out: list[tuple[str, int, int]] = []
+    nodes = [Node(-1, "", 0, False)]
+    stack: list[tuple[str, int | None, bool, int]] = []  # tag, its node if it is a container, whether it is left out, place of the nearest block
+    held = [0]  # nodes in the stack
     opened: Counter[str] = Counter()  # tags in the stack
     over: Counter[str] = Counter()  # inline tags that were only counted
     words, linked = [], 0
@@ -128,16 +161,16 @@ def blocks(source: str, s: Settings) -> list[tuple[str, int, tuple[str, ...]]]:
         nonlocal words, linked
         text = " ".join("".join(words).split())
         if text:
-            out.append((text, linked, tuple(held)))
+            out.append((text, linked, held[-1]))
         words, linked = [], 0
 
     def shut(upto: int) -> None:
         if stack[-1][3] >= upto:
             flush()
             over.clear()
-        for tag, path, _, _ in stack[upto:]:
+        for tag, node, _, _ in stack[upto:]:
             opened[tag] -= 1
-            if path:
+            if node is not None:
                 held.pop()
         del stack[upto:]
 
@@ -146,7 +179,7 @@ def blocks(source: str, s: Settings) -> list[tuple[str, int, tuple[str, ...]]]:
             if not (stack and stack[-1][2]):
                 text = entities.unescape(value)
                 words.append(text)
-                if over["a"] or any(x[0] == "a" for x in stack[-8:]):
+                if over["a"] or opened["a"]:
                     linked += len(text)
         elif kind == "close":
             if over[value]:
@@ -176,49 +209,77 @@ def blocks(source: str, s: Settings) -> list[tuple[str, int, tuple[str, ...]]]:
             if len(stack) >= s.open_elements and value not in BLOCK and (not skips or stack[-1][2]):
                 over[value] += value not in RAW
                 continue
-            path = None
+            node = None
             if value in CONTAINER and not skips and len(held) < s.open_elements:
-                first = sorted(re.sub("[0-9]+", "#", w.lower()) for w in names.get("class", "").split())[:3]
-                above = held[-1] if held else ""
-                path = "/".join([*filter(None, above.split("/")), ".".join([value, *first]).replace("/", "_")][-s.depth :])
-                held.append(path)
+                node, above = len(nodes), held[-1]
+                named = _named(value, names)
+                nodes.append(Node(above, value, _hash(nodes[above].path.to_bytes(8, "little", signed=True) + f"{_step(value, names)}{'!' * named}".encode("utf-8", "surrogatepass")), named))
+                held.append(node)
             opened[value] += 1
-            stack.append((value, path, skips, len(stack) if value in BLOCK else stack[-1][3] if stack else -1))
+            stack.append((value, node, skips, len(stack) if value in BLOCK else stack[-1][3] if stack else -1))
     flush()
-    return out
+    return out, nodes
+
+
+def _worth(text: str, linked: int) -> int:
+    return max(0, len(text) - 2 * linked) + 10 * text.count(",")
+
 
+@dataclass
+class Sum:
+    """What a path holds on a page: characters, those in links, those of running text, worth, a hash of its texts."""
 
-def scores(found: list[tuple[str, int, tuple[str, ...]]], s: Settings) -> dict[str, float]:
-    """Votes of a page: running text for the container that holds it, a share for the one around."""
-    out: dict[str, float] = {}
-    for text, linked, paths in found:
-        worth = _worth(text, linked)
-        for path, share in zip(paths[:-3:-1], (1.0, s.parent_share)):
-            out[path] = out.get(path, 0.0) + share * worth
+    chars: int = 0
+    linked: int = 0
+    running: int = 0
+    worth: int = 0
+    same: int = 0
+    node: int = 0
+
+    def add(self, x: Sum) -> None:
+        self.chars, self.linked, self.running, self.worth, self.same = self.chars + x.chars, self.linked + x.linked, self.running + x.running, self.worth + x.worth, self.same + x.same
+
+
+def sums(found: list[tuple[str, int, int]], nodes: list[Node], s: Settings) -> dict[int, Sum]:
+    """The sums of every path of a page; containers of one path are taken together."""
+    of = [Sum() for _ in nodes]
+    for text, linked, at in found:
+        of[at].add(Sum(len(text), linked, len(text) if len(text) >= s.running and 2 * linked < len(text) else 0, _worth(text, linked), _hash(text.encode("utf-8", "surrogatepass"))))
+    for i in range(len(nodes) - 1, 0, -1):
+        of[nodes[i].above].add(of[i])
+    out: dict[int, Sum] = {}
+    for i, node in enumerate(nodes):
+        out.setdefault(node.path, Sum(node=i)).add(of[i])
     return out
 
 
-def _worth(text: str, linked: int) -> float:
-    return max(0.0, len(text) - 2.0 * linked) + 10.0 * text.count(",")
-
-
-def widened(found: list[tuple[str, int, tuple[str, ...]]], path: str, s: Settings) -> str:
-    """The outermost article or main around the path; without one, the outermost container that adds only
-    headings, sections and other running text to it."""
-    chain = next((paths[: paths.index(path) + 1] for _, _, paths in found if path in paths), ())
-    tags = [re.split("[.]", x.rsplit("/", 1)[-1])[0] for x in chain]
-    for x, tag in zip(chain, tags):
-        if tag in ("article", "main"):
-            return x
-    for x, tag in zip(chain[-2::-1], tags[-2::-1]):
-        inside = [b for b in found if path in b[2]]
-        added = [b for b in found if x in b[2] and path not in b[2]]
-        linked, size = sum(b[1] for b in added), sum(len(b[0]) for b in added)
-        running = sum(len(b[0]) for b in added if len(b[0]) >= s.running)
-        large = sum(_worth(*b[:2]) for b in added) >= s.section * sum(_worth(*b[:2]) for b in inside)
-        if 3 * linked > size or (tag in ("body", "center", "tbody", "table") or large) and added and not (large and running >= 0.7 * size):
+def _boilerplate(x: Sum, total: int, named: bool, s: Settings) -> bool:
+    """The rule of one page, where no votes are at hand."""
+    return named or x.worth <= s.minor * total and x.linked >= s.linked * x.chars > 0
+
+
+def _belongs(tag: str, inside: Sum, around: Sum, s: Settings) -> bool:
+    """Whether what the container around a path adds to it is headings, sections and other running text."""
+    size, linked, running, worth = around.chars - inside.chars, around.linked - inside.linked, around.running - inside.running, around.worth - inside.worth
+    large = worth >= s.section * inside.worth
+    return size == 0 or 3 * linked <= size and ((tag not in BROAD and not large) or (large and running >= s.prose * size))
+
+
+def widened(of: dict[int, Sum], nodes: list[Node], path: int, climbs: frozenset[int] | None, s: Settings) -> int:
+    """The innermost article around the path, else the innermost main.  Without one, containers around it are taken in
+    as long as they belong to it: by the host's votes, or by the page alone where ``climbs`` is None."""
+    chain, at = [], of[path].node
+    while at > 0:
+        chain.append(nodes[at])
+        at = nodes[at].above
+    for tag in ("article", "main"):
+        for node in chain:
+            if node.tag == tag:
+                return node.path
+    for node in chain[1:]:
+        if not (path in climbs if climbs is not None else _belongs(node.tag, of[path], of[node.path], s)):
             break
-        path = x
+        path = node.path
     return path
 
 
@@ -227,47 +288,122 @@ def host_of(url: str) -> str:
     return re.sub(r"^www\.", "", m[1].lower()) if m else ""
 
 
-def main_text(source: str, winner: str | None, s: Settings = Settings()) -> str:
-    """The blocks inside the winning path, or inside the page's own best, joined by line ends."""
-    found = blocks(source, s)
-    for path in (winner, max(sorted(own), key=own.get) if (own := scores(found, s)) else None):
-        at = widened(found, path, s) if path else ""
-        inside = [text for text, _, paths in found if at in paths] if at else []
-        if inside:
-            return "\n".join(inside)
-    return "\n".join(text for text, _, _ in found)
+@dataclass(frozen=True)
+class Verdict:
+    """What the votes of a host say: paths that win, those of them that the container around belongs to, paths left out;
+    ``whole`` if no more paths are judged so."""
+
+    winners: frozenset[int] = frozenset()
+    climbs: frozenset[int] = frozenset()
+    left_out: frozenset[int] = frozenset()
+    whole: bool = False
+
+
+def main_text(source: str, verdict: Verdict = Verdict(), s: Settings = Settings()) -> str:
+    """The blocks inside the innermost winning path, or inside the page's own, but for boilerplate paths, joined by line ends.
+
+    Paths that a partial verdict doesn't name are judged by the page.  If all is boilerplate, nothing is left out.
+    """
+    found, nodes = blocks(source, s)
+    of, left_out = sums(found, nodes, s), verdict.left_out
+    if not verdict.whole:
+        left_out = left_out | {n.path for n in nodes[1:] if n.path not in verdict.winners and _boilerplate(of[n.path], of[0].worth, n.named, s)}
+    out = [False] * len(nodes)
+    for i, node in enumerate(nodes[1:], 1):
+        out[i] = out[node.above] or node.path in left_out
+    if kept := [b for b in found if not out[b[2]]]:
+        found, of = kept, sums(kept, nodes, s)
+    depth = [0] * len(nodes)
+    for i, node in enumerate(nodes[1:], 1):
+        depth[i] = depth[node.above] + 1
+    usable = [n for n in nodes[1:] if of[n.path].worth]
+    voted = [n for n in usable if n.path in verdict.winners]
+    best = voted or [n for n in usable if n.tag in ("article", "main")] or [n for n in usable if of[n.path].worth >= s.share * of[0].worth]
+    path = max((depth[of[n.path].node], of[n.path].worth, n.path) for n in best)[2] if best else 0
+    path = widened(of, nodes, path, verdict.climbs if voted else None, s) if path else 0
+    inside = [False] * len(nodes)
+    for i, node in enumerate(nodes):
+        inside[i] = node.path == path or (i > 0 and inside[node.above])
+    return "\n".join(text for text, _, at in found if inside[at])
+
+
+VOTES = "host string, path long, above long, tag string, named boolean, pages long, chars long, linked long, running long, worth long, around long, low long, high long"
+SUMS, VOTE = ("chars", "linked", "running", "worth"), 1_000_000
 
 
 def _vote(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """What each host's paths hold on a batch's pages, in millionths of a page: a page has one vote however long it is."""
+    names = [x.split()[0] for x in VOTES.split(", ")]
     for batch in batches:
-        tally: dict[tuple[str, str], float] = {}
+        tally: dict[tuple[str, int], list] = {}
         for url, source in zip(texts(batch, "url"), texts(batch, "html"), strict=True):
-            for path, x in scores(blocks(source, s), s).items():
-                at = (host_of(url), path)
-                tally[at] = tally.get(at, 0.0) + x
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.string()), pa.array(list(tally.values()), pa.float64())], ["host", "path", "score"])
+            found, nodes = blocks(source, s)
+            of, host = sums(found, nodes, s), host_of(url)
+            size, worth = max(1, of[0].chars), max(1, of[0].worth)
+            for path, x in of.items():
+                node = nodes[x.node]
+                same = _hash((x.same & (1 << 64) - 1).to_bytes(8, "little")) if x.chars else 0
+                row = tally.setdefault((host, path), [nodes[node.above].path if x.node else None, node.tag, node.named, 0, 0, 0, 0, 0, 0, same, same])
+                shares = (x.chars * VOTE // size, x.linked * VOTE // size, x.running * VOTE // size, x.worth * VOTE // worth)
+                for i, more in enumerate((1, *shares, VOTE if of[0].worth else 0), 3):
+                    row[i] += more
+                row[9], row[10] = min(row[9], same), max(row[10], same)
+        cols = [list(c) for c in zip(*((*k, *v) for k, v in tally.items()))] or [[] for _ in names]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 8]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    known: dict[str, Verdict] = {}
     for batch in batches:
-        got = [main_text(h, w, s) for h, w in zip(texts(batch, "html"), batch.column("winner").to_pylist(), strict=True)]
+        got = []
+        for source, host, *lists, whole in zip(texts(batch, "html"), *(batch.column(c).to_pylist() for c in ("host", "winners", "climbs", "left_out", "whole")), strict=True):
+            if host not in known:
+                if len(known) > 4096:
+                    known.clear()
+                known[host] = Verdict(*(frozenset(x or ()) for x in lists), bool(whole))
+            got.append(main_text(source, known[host], s))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def winners(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(host, winner): the path of most votes on each host, the first by name among equals."""
-    votes = map_batches(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), _vote, "host string, path string, score double", settings)
-    total = votes.groupBy("host", "path").agg(F.round(F.sum("score"), 3).alias("score"))
-    return total.groupBy("host").agg(F.min_by("path", F.struct((-F.col("score")).alias("s"), F.col("path"))).alias("winner"))
+def verdicts(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(host, winners, climbs, left_out, whole): a Verdict for each host.
+
+    Votes are sums over all pages of a host, each page's in shares of it.  A path wins if it holds ``share`` of the running text of the pages that
+    have it.  One with a minor part of that text is left out for its links, for the same text on all its pages or for its
+    name; where fewer than ``consensus`` pages vote, its name alone does.  A winner climbs if what the container around
+    it adds, boilerplate aside, belongs to it.
+    """
+    s = settings
+    votes = map_batches(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), _vote, VOTES, s)
+    total = votes.groupBy("host", "path").agg(F.first("above").alias("above"), F.first("tag").alias("tag"), F.first("named").alias("named"), *(F.sum(c).alias(c) for c in ("pages", *SUMS, "around")), F.min("low").alias("low"), F.max("high").alias("high"))
+    minor, few = F.col("worth") <= s.minor * F.col("around"), F.col("pages") < s.consensus
+    dull = F.col("named") | ((F.col("linked") >= s.linked * F.col("chars")) & (F.col("chars") > 0)) | (~few & (F.col("chars") > 0) & (F.col("low") == F.col("high")))
+    out = (F.col("path") != 0) & ((minor & dull) | (few & F.col("named")))
+    wins = (F.col("path") != 0) & ~out & (F.col("worth") > 0) & (F.col("worth") >= s.share * F.col("around"))
+    judged = staged(total.select("host", "path", "above", "tag", "pages", *SUMS, out.alias("out"), wins.alias("wins")), "votes")
+    gone = judged.filter("out").groupBy(F.col("host").alias("g_host"), F.col("above").alias("g_path")).agg(*(F.sum(c).alias(f"g_{c}") for c in SUMS))
+    around = judged.filter("path <> 0 and not out").join(gone, (F.col("host") == F.col("g_host")) & (F.col("path") == F.col("g_path")), "left")
+    around = around.select(F.col("host").alias("a_host"), F.col("path").alias("a_path"), F.col("tag").alias("a_tag"), *((F.col(c) - F.coalesce(f"g_{c}", F.lit(0))).alias(f"a_{c}") for c in SUMS))
+    size, linked, running, worth = (F.col(f"a_{c}") - F.col(c) for c in SUMS)
+    large = worth >= s.section * F.col("worth")
+    belongs = (size == 0) | ((3 * linked <= size) & ((~F.col("a_tag").isin(*BROAD) & ~large) | (large & (running >= s.prose * size))))
+    judged = judged.filter("out or wins").join(around, (F.col("host") == F.col("a_host")) & (F.col("above") == F.col("a_path")), "left")
+    ranked = judged.select("host", "path", "pages", "out", "wins", (F.col("wins") & F.coalesce(belongs, F.lit(False))).alias("climbs"))
+    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("host", "out").orderBy(F.desc("pages"), "path"))).filter(F.col("n") <= s.paths + 1)
+    kept = lambda c, name: F.collect_list(F.when(F.col(c) & (F.col("n") <= s.paths), F.col("path"))).alias(name)
+    return ranked.groupBy("host").agg(kept("wins", "winners"), kept("climbs", "climbs"), kept("out", "left_out"), (F.max("n") <= s.paths).alias("whole"))
 
 
 def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """page_id, url, text and n_chars of every page.  Null html gives the empty text; a null url is a host of its own.
+    """page_id, url, text and n_chars of every page.
 
-    Winners meet the pages by host; pages of a crowded host are split over tasks by adaptive execution.
+    Null html gives the empty text; a null or odd url belongs to the host of no name; rows that repeat an id get a row
+    each; of equal votes all win and the innermost on a page is taken.  Verdicts meet the pages by host; pages of a
+    crowded host are split over tasks by adaptive execution.  Other columns are not looked at.
     """
-    best = staged(winners(pages, settings), "winners").withColumnRenamed("host", "of_host")
+    best = staged(verdicts(pages, settings), "verdicts").withColumnRenamed("host", "of_host")
     host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][-+.a-zA-Z0-9]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    rows = rows.join(best, rows.host == best.of_host, "left").select("page_id", "url", "html", "winner")
+    rows = rows.join(best, rows.host == best.of_host, "left").select("page_id", "url", "html", "host", "winners", "climbs", "left_out", "whole")
     return map_batches(rows, _extract, "page_id long, url string, text string, n_chars long", settings)
