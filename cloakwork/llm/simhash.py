@@ -27,12 +27,15 @@ LEAF_PAIRS, PAIRS_AT_ONCE, ROWS_AT_ONCE = 4096, 2_000_000, 150_000
 @dataclass(frozen=True)
 class Settings:
     """``shingle``: words of a shingle.  ``budget``: differing bits of a link at most.  ``group``: wanted
-    size of a trie's root group, which sets the number of blocks.  ``hot``: larger groups are split."""
+    size of a trie's root group, which sets the number of blocks.  ``hot``: larger groups are split into pairs
+    of parts; a fingerprint is then copied once for each part, so work grows with the square of such a group's
+    distinct fingerprints, as comparing them does.  ``spread``: parts in which a class's members learn its least id."""
 
     shingle: int = 4
     budget: int = 4
     group: int = 4096
     hot: int = 16_384
+    spread: int = 16
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -196,14 +199,14 @@ def links(prints: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return map_batches(dealt, _links, "u long, v long", prefix, s.budget)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(u, root): each node's smallest node reachable, for nodes that aren't roots.  Alternating large and small stars."""
+def components(edges: DataFrame) -> DataFrame:
+    """(u, root): each node's smallest node reachable, for nodes that aren't roots.  Alternating large and small stars.
+
+    Goes on until nothing changes; the rounds grow with the logarithm of the longest chain.
+    """
     cur = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     state = None
-    for _ in range(rounds):
-        now = cur.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
+    while (now := cur.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != state:
         state = now
         both = cur.union(cur.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -216,18 +219,29 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return cur.select("u", F.col("v").alias("root"))
 
 
+def _heads(prints: DataFrame, column: str, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Least ``column`` of each class: (fp, column) of fingerprints linked to others, and of those on their own.
+
+    A crowded class is split: its members meet the class's least value in ``spread`` parts.
+    """
+    root = staged(components(links(prints.select("fp"), settings)), "roots")
+    every = root.select(F.col("u").alias("fp"), "root").union(root.select(F.col("root").alias("fp"), "root").distinct())
+    linked = prints.join(every, "fp").select("fp", column, "root", F.pmod(F.xxhash64("fp"), F.lit(settings.spread)).cast("int").alias("part"))
+    least = linked.groupBy("root").agg(F.min(column).alias("least"))
+    least = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(settings.spread - 1))))
+    return linked.join(least, ["root", "part"]).select("fp", F.col("least").alias(column), "root"), prints.join(every, "fp", "left_anti").select("fp", column, F.col("fp").alias("root"))
+
+
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links lead to, its own included.
 
-    Empty and null texts share fingerprint zero and link like others.  Rows that repeat an id get a row each.
+    Empty and null texts share fingerprint zero and link like others.  Rows that repeat an id get a row each; rows
+    without id link like others, and a class of such rows only has no component_id.
     """
     rows = staged(fingerprints(docs, settings), "prints")
-    prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    root = components(links(prints.select("fp"), settings))
-    prints = prints.join(root, prints.fp == root.u, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = prints.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = prints.join(lowest, "root").select("fp", "component_id")
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("component_id")), "classes")
+    linked, alone = _heads(prints, "component_id", settings)
+    return rows.join(linked.union(alone).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -236,18 +250,18 @@ def report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One document of each group, that of the smallest id, with all its columns.
+    """One document of each group, that of the smallest id, with all its columns, whatever their names.
 
     Rows are told apart by id and text, so an id may stand on several texts.  A null id comes after all
-    others and is kept if its group has no other; of equal rows one is kept.
+    others and is kept if its group has no other; of equal rows one is kept.  An empty table stays empty.
     """
     rows = staged(fingerprints(docs, settings, keyed=True), "prints")
     alike = rows.groupBy("fp", "doc_id", "row_key").agg(F.count("*").alias("times"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "times")
     prints = staged(alike.groupBy("fp").agg(F.min(first).alias("first")), "classes")
-    root = components(links(prints.select("fp"), settings))
-    heads = prints.join(root, prints.fp == root.u, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    keep = heads.select(F.col("first.doc_id").alias("keep_id"), F.col("first.row_key").alias("keep_key"), F.col("first.times").alias("keep_times"))
-    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (_row_key() == F.col("keep_key")))
-    once = out.filter("keep_times = 1").select(*docs.columns)
-    return once.union(out.filter("keep_times > 1").dropDuplicates(["keep_id", "keep_key"]).select(*docs.columns))
+    linked, alone = _heads(prints, "first", settings)
+    heads = alone.select("first").union(linked.filter("fp = root").select("first"))
+    keep = heads.select(F.col("first.doc_id").alias("keep_id"), F.col("first.row_key").alias("keep_key"), F.col("first.times").alias("times"))
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), _row_key().alias("own_key"))
+    out = own.join(keep, F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("own_key") == F.col("keep_key")))
+    return out.filter("times = 1").select("row.*").union(out.filter("times > 1").dropDuplicates(["own_id", "own_key"]).select("row.*"))
