@@ -23,12 +23,13 @@ NO_SOURCE = "\x00"
 
 @dataclass(frozen=True)
 class Settings:
-    """``weights``: target weight of each source, or None for counts to the power ``flatten``.
+    """``weights``: target weight of each source, ``rest`` for each one not named; or None for counts to the power ``flatten``.
     ``period``: slots of a period; a weight is rounded to whole slots, one at least.
     ``block``: documents of a block.  ``slice_rows``, ``slices``: a source is ranked in slices of
     about so many rows, and of no more than so many slices over all sources."""
 
     weights: dict[str, float] | None = None
+    rest: float = 1.0
     flatten: float = 0.7
     period: int = 4096
     block: int = 16
@@ -84,9 +85,10 @@ def one_period(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
 def schedule(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with mix_block, mix_slot, mix_release, mix_deadline and mix_rank (place in its block).
 
-    A null source is a source of its own.  No row is dropped or repeated: when a source has run out, its
-    slots stay empty and the others go on in their proportions.  Documents of a source come in an order
-    that a seeded hash of their ids gives; equal rows follow each other.  An empty table stays empty.
+    Columns of ``docs`` that bear one of these names are left out.  A null source is a source of its own.
+    No row is dropped or repeated: when a source has run out, its slots stay empty and the others go on in their
+    proportions.  Documents of a source come in an order that a seeded hash of their ids gives, of their other
+    columns where the id is null; equal rows follow each other.  An empty table stays empty.
     """
     s, spark = settings, docs.sparkSession
     source = F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))
@@ -94,36 +96,42 @@ def schedule(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     if len(counts) > s.max_sources:
         raise ValueError(f"more than {s.max_sources} sources")
     added = {"mix_block": "long", "mix_slot": "long", "mix_release": "long", "mix_deadline": "long", "mix_rank": "int"}
+    own = [f"`{c.replace('`', '``')}`" for c in docs.columns if c.lower() not in added]
     if not counts:
-        return docs.select("*", *(F.lit(None).cast(t).alias(c) for c, t in added.items()))
-    weights = {k: max(1e-9, float(s.weights.get(k, 0.0))) if s.weights else n**s.flatten for k, n in counts.items()}
+        return docs.select(*own, *(F.lit(None).cast(t).alias(c) for c, t in added.items()))
+    weights = {k: max(1e-9, float(s.weights.get(k, s.rest))) if s.weights else n**s.flatten for k, n in counts.items()}
     share = quotas(weights, s.period)
     period = sum(share.values())
     rows = max(s.slice_rows, sum(counts.values()) // s.slices + 1)
     of_source = spark.createDataFrame([(k, -(-n // rows), share[k]) for k, n in counts.items()], "mix_k string, mix_slices long, mix_quota long")
     plan = spark.createDataFrame([(k, i, slot, a, b) for k, i, slot, a, b in one_period(share)], "mix_k string, mix_i long, mix_at long, mix_from long, mix_by long")
-    mixed = F.xxhash64(F.lit(s.seed), F.col("doc_id"))
-    dealt = docs.withColumn("mix_k", source).withColumn("mix_h", mixed).join(F.broadcast(of_source), "mix_k")
+    plain = [F.col(f"`{f.name.replace('`', '``')}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    mixed = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(s.seed), *plain)).otherwise(F.xxhash64(F.lit(s.seed), F.col("doc_id")))
+    row, id_ = F.struct(*own) if own else F.struct(F.lit(0).alias("mix")), F.col("doc_id")
+    dealt = docs.select(row.alias("mix_row"), source.alias("mix_k"), mixed.alias("mix_h"), id_.alias("mix_id")).join(F.broadcast(of_source), "mix_k")
     dealt = dealt.withColumn("mix_slice", F.floor((F.col("mix_h") / F.lit(2.0**64) + 0.5) * F.col("mix_slices")).cast("long"))
     sizes = dealt.groupBy("mix_k", "mix_slice").count()
     before = sizes.select("mix_k", "mix_slice", F.coalesce(F.sum("count").over(Window.partitionBy("mix_k").orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("mix_before"))
     before = staged(before.coalesce(1), "slices")  # slices + sources rows at most
     placed = dealt.join(F.broadcast(before), ["mix_k", "mix_slice"])
-    order = Window.partitionBy("mix_k", "mix_slice").orderBy("mix_h", "doc_id")
+    order = Window.partitionBy("mix_k", "mix_slice").orderBy("mix_h", "mix_id")
     placed = placed.withColumn("mix_n", F.col("mix_before") + F.row_number().over(order) - 1)
     placed = placed.withColumn("mix_block", F.floor(F.col("mix_n") / s.block).cast("long")).withColumn("mix_rank", (F.col("mix_n") % s.block).cast("int"))
     placed = placed.withColumn("mix_i", F.col("mix_block") % F.col("mix_quota")).withColumn("mix_turn", F.floor(F.col("mix_block") / F.col("mix_quota")).cast("long") * period)
     out = placed.join(F.broadcast(plan), ["mix_k", "mix_i"])
-    return out.select(*(F.col(c) for c in docs.columns), "mix_block", (F.col("mix_turn") + F.col("mix_at")).alias("mix_slot"), (F.col("mix_turn") + F.col("mix_from")).alias("mix_release"), (F.col("mix_turn") + F.col("mix_by")).alias("mix_deadline"), "mix_rank")
+    return out.select(*([f"mix_row.{c}" for c in own]), "mix_block", (F.col("mix_turn") + F.col("mix_at")).alias("mix_slot"), (F.col("mix_turn") + F.col("mix_from")).alias("mix_release"), (F.col("mix_turn") + F.col("mix_by")).alias("mix_deadline"), "mix_rank")
 
 
-def mix(docs: DataFrame, settings: Settings = Settings(), part_rows: int = 8192) -> DataFrame:
-    """The documents in mixed order: partition by partition, sorted inside each, with their own columns only."""
-    out = schedule(docs, settings)
-    top = out.agg(F.max("mix_slot")).first()[0]
-    if top is None:
+def mix(docs: DataFrame, settings: Settings = Settings(), part_rows: int = 8192, most_parts: int = 100_000) -> DataFrame:
+    """The documents in mixed order: partition by partition, sorted inside each, with all their own columns.
+
+    Beyond ``part_rows`` x ``most_parts`` documents the partitions grow.
+    """
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "source")
+    out = schedule(packed, settings)
+    top = out.agg(F.max("mix_slot"), F.count("*")).first()
+    if not top[1]:
         return docs
-    n = docs.count()
-    parts = max(1, min(-(-n // part_rows), 100_000))
-    at = F.floor(F.col("mix_slot") * F.lit(parts) / F.lit(top + 1)).cast("int")
-    return out.repartitionById(parts, at).sortWithinPartitions("mix_slot", "mix_rank").select(*docs.columns)
+    parts = max(1, min(-(-top[1] // part_rows), most_parts))
+    at = F.floor(F.col("mix_slot") * F.lit(parts) / F.lit(top[0] + 1)).cast("int")
+    return out.repartitionById(parts, at).sortWithinPartitions("mix_slot", "mix_rank").select("row.*")

@@ -10,13 +10,17 @@ from . import decontaminate, importance, pages, personal, pfair, rules, simhash,
 from .common import table
 
 
+#: Target weights of the mixture; a source not named here weighs 1.
+WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 2.0, "src4": 1.5, "src5": 0.5}
+
+
 def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), importance.Settings(reject_toxic=True))
 
 
 def op2_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return pfair.schedule(docs)
+    return pfair.schedule(docs, pfair.Settings(weights=WEIGHTS))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm import decontaminate, importance, pfair, simhash, tokens
 from cloakwork.llm.common import staged, table
+from cloakwork.llm.queries import WEIGHTS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixing schedule."""
-    return pfair.mix(docs)
+    return pfair.mix(docs, pfair.Settings(weights=WEIGHTS))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
