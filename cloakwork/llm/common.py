@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _LOCAL: dict[str, str] = {}
 
@@ -69,7 +70,7 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def map_batches(df: DataFrame, function, schema: str, *args) -> DataFrame:
+def map_batches(df: DataFrame, function, schema: str | StructType, *args) -> DataFrame:
     """``mapInArrow`` with the function's extra arguments bound; batches stream one by one."""
     small_batches(df.sparkSession)
     return df.mapInArrow(functools.partial(_run, function, args), schema)

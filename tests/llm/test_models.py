@@ -107,3 +107,39 @@ def test_mix_orders_and_keeps_every_row(spark, tmp_path):
     order = [r.doc_id for r in sorted(rows, key=lambda r: (r.file_name, r.row_index))]
     assert order == sorted(plan, key=plan.get) and len(order) == docs.count()
     assert pfair.mix(docs.limit(0)).count() == 0
+
+
+def test_importance_is_the_ratio_and_the_draw(spark):
+    """Ratios, weights, noise and the k largest, worked out with plain integers and dictionaries."""
+    import math
+    import zlib
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    s = importance.Settings(buckets=512, share=0.6)
+    held = {r[0] for r in docs.filter(F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(3)) == 0).select("doc_id").collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic} - held
+    mask = (1 << 64) - 1
+
+    def scramble(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    grams, raw, target = {}, Counter(), Counter()
+    for i, t in rows.items():
+        h = [zlib.crc32(w.encode()) + 1 for w in importance.TOKEN.findall(t)]
+        grams[i] = [scramble(x) % s.buckets for x in h + [(a * 0x9E3779B97F4A7C15 + b) & mask for a, b in zip(h, h[1:])]]
+        raw.update(grams[i])
+        if i in good:
+            target.update(grams[i])
+    scale = target.total() / raw.total()
+    weight = {i: sum(math.log((target[b] + s.prior) / (raw[b] * scale + s.prior)) for b in g) for i, g in grams.items() if g}
+    noise = {i: -math.log(-math.log(((scramble(i ^ scramble(s.seed)) >> 11) + 0.5) / 2.0**53)) for i in weight}
+    k = round(0.6 * len(weight))
+    want = sorted(weight, key=lambda i: weight[i] + noise[i], reverse=True)[:k]
+    got = importance.classify(docs, labels, s).collect()
+    assert {r.doc_id for r in got if r.kept} == set(want)
+    assert all(r.log_weight == pytest.approx(weight[r.doc_id], abs=1e-6) for r in got if r.n_features) and all(r.n_features == len(grams[r.doc_id]) for r in got)
+    ids = sorted(r.doc_id for r in importance.keep_drawn(docs.withColumns({c: F.lit("clash") for c in ("row", "draw_key", "toxic", "quality")}), labels, s).collect())
+    assert ids == sorted(want)

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages(spark, tmp_path):
     docs = table(spark, SF, "documents")
     columns, bench = docs.columns, table(spark, SF, "benchmark")
-    kept = {0: {r.doc_id for r in importance.classify(docs, table(spark, SF, "labels")).filter("kept").collect()}}
+    kept = {0: {r.doc_id for r in importance.classify(docs, table(spark, SF, "labels"), importance.Settings(reject_toxic=True)).filter("kept").collect()}}
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, SF)
         if i + 1 < len(corpus_pipeline.STAGES):
