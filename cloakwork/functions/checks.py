@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .dialect import Dialect
+from .dialect import LOWER, UPPER, Dialect
 
 #: Fixed values of the standards.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,6 +28,10 @@ def _value(v: str, alphabet: str, i: str = "i") -> str:
     return f"(instr('{alphabet}', substr({v}, cast({i} as int), 1)) - 1)"
 
 
+def _upper(v: str) -> str:
+    return f"translate({v}, '{LOWER}', '{UPPER}')"
+
+
 def strip(v: str) -> str:
     return f"replace(replace({v}, ' ', ''), '-', '')"
 
@@ -58,7 +62,7 @@ def card_luhn(d: Dialect, v: str) -> str:
 
 
 def cn_id(d: Dialect, v: str) -> str:
-    v = f"upper({v})"
+    v = _upper(v)
     s = d.total("17", f"{_digit(v)} * (cast(power(2, 18 - i) as int) % 11)")
     ok = f"cast(substr({v}, 11, 2) as int) between 1 and 12 and cast(substr({v}, 13, 2) as int) between 1 and 31 and substr('{CN_CHECKS}', cast({s} % 11 as int) + 1, 1) = substr({v}, 18, 1)"
     return f"(case when {d.test(v, '^[0-9]{17}[0-9X]$')} then {ok} else false end)"
@@ -77,7 +81,7 @@ def iban(d: Dialect, v: str) -> str:
 
 
 def codice_fiscale(d: Dialect, v: str) -> str:
-    v = f"upper({v})"
+    v = _upper(v)
     odd = f"cast(substr('{CF_ODD}', cast(2 * {_value(v, VALUES36)} + 1 as int), 2) as int)"
     even = f"(case when {_value(v, VALUES36)} > 9 then {_value(v, VALUES36)} - 10 else {_value(v, VALUES36)} end)"
     s = d.total("15", f"case when i % 2 = 1 then {odd} else {even} end")
@@ -93,7 +97,7 @@ def steuer_id(d: Dialect, v: str) -> str:
 
 
 def dni(d: Dialect, v: str) -> str:
-    v = f"upper({strip(v)})"
+    v = _upper(strip(v))
     number = f"cast(replace(replace(replace(substr({v}, 1, 8), 'X', '0'), 'Y', '1'), 'Z', '2') as int)"
     return f"(case when {d.test(v, '^[XYZ0-9][0-9]{7}[A-Z]$')} then substr('{DNI_LETTERS}', {number} % 23 + 1, 1) = substr({v}, 9, 1) else false end)"
 

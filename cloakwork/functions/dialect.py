@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+#: Letters of either case; cheaper than the engine's own mapping, which asks for the language's rules.
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 
 @dataclass(frozen=True)
 class Dialect:
     spark: bool
 
+    def name(self, column: str) -> str:
+        return f"`{column}`" if self.spark else f'"{column}"'
+
     def lam(self, names: str, body: str) -> str:
         return f"({names}) -> {body}" if self.spark else f"lambda {names}: {body}"
 
@@ -43,6 +50,11 @@ class Dialect:
     def test(self, text: str, pattern: str) -> str:
         return f"({text} rlike {self.raw(pattern)})" if self.spark else f"regexp_matches({text}, {self.raw(pattern)})"
 
+    def any_word(self, text: str, words) -> str:
+        """Whether one of the words stands in ``text``, in letters of either case."""
+        plain = "|".join(re.sub(r"([.+*?()\[\]{}|^$\\])", r"\\\1", w.lower()) for w in words)
+        return self.test(text, f"(?i)(?:{plain})")
+
     def count(self, text: str, pattern: str) -> str:
         return f"regexp_count({text}, {self.raw(pattern)})" if self.spark else f"len(regexp_extract_all({text}, {self.raw(pattern)}))"
 

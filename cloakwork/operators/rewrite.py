@@ -46,12 +46,18 @@ def vault(entities: DataFrame, session: list[str], order: list[str]) -> DataFram
 
 
 def splice(docs: DataFrame, replacements: DataFrame) -> DataFrame:
-    """Texts with their spans replaced.  Overlapping spans or a null replacement block the row: text null, status blocked."""
-    spans = replacements.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_cp", "end_cp", "replacement"))).alias("spans"))
-    rows = docs.select("doc_id", "text").join(spans, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start_cp:int,end_cp:int,replacement:string>>")))
-    bad = F.expr("exists(spans, x -> x.replacement is null) or exists(transform(spans, (x, i) -> i > 0 and get(spans, i - 1).end_cp > x.start_cp), y -> y)")
-    out = F.expr("aggregate(spans, struct('' as t, 0 as at), (a, x) -> struct(a.t || substr(text, a.at + 1, x.start_cp - a.at) || coalesce(x.replacement, '') as t, x.end_cp as at), a -> a.t || substr(text, a.at + 1))")
-    return rows.select("doc_id", F.when(~bad, out).alias("redacted"), F.size("spans").alias("n_entities"), F.when(bad, "blocked").otherwise("ok").alias("status"))
+    """Texts with their spans (start, end in bytes) replaced, in time that grows with the text.
+
+    Overlapping spans or a null replacement block the row: text null, status blocked."""
+    spans = replacements.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("spans"))
+    none = F.array().cast("array<struct<start:int,end:int,replacement:string>>")
+    rows = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"), F.col("text").cast("binary").alias("raw"))
+    bad = F.expr("exists(spans, x -> x.replacement is null) or exists(transform(spans, (x, i) -> i > 0 and get(spans, i - 1).`end` > x.start), y -> y)")
+    before = "coalesce(get(spans, i - 1).`end`, 0)"
+    pieces = f"transform(spans, (x, i) -> cast(substring(raw, {before} + 1, x.start - {before}) as string) || x.replacement)"
+    out = F.expr(f"concat_ws('', {pieces}, cast(substring(raw, element_at(spans, -1).`end` + 1) as string))")
+    whole = F.when(F.size("spans") == 0, F.col("text")).when(~bad, out)
+    return rows.select("doc_id", whole.alias("redacted"), F.size("spans").alias("n_entities"), F.when(bad, "blocked").otherwise("ok").alias("status"))
 
 
 def splice_sql(docs: str, replacements: str) -> str:

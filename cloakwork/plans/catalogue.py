@@ -1,8 +1,7 @@
-"""All registered queries with their SQL twins."""
+"""Registered queries with their SQL twins: detection, check digits, rewriting, rosters, payloads."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,95 +9,35 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.dialect import DUCK, SPARK
-from ..functions.keys import hmac_hex, tenant_key
+from ..functions.keys import hmac_hex
 from ..operators import documents as D
 from ..operators import recognizers as R
 from ..operators import rewrite as W
 from ..sources import lines as L
+from .base import ALL_TEXTS, EVERY, KEY, MAIN, ORACLE, QUERIES, SYNTH, TABLES, K, _num, all_texts, both, frame, run
 
-#: A fixed key, so that keyed results can be compared; real keys come from the caller.
-KEY = tenant_key(bytes(range(32)), b"salt", "acme")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
-def _num(x: str, width: int) -> str:
-    return f"lpad(cast({x} as varchar(30)), {width}, '0')"
-
-
-K = "cast(o_orderkey as bigint)"
-#: Texts that hold identifiers, right and wrong ones, made of order keys in either dialect.
-SYNTH = f"""
-    SELECT 1000000000 + {K} AS doc_id, cast(o_custkey as bigint) AS session, CASE cast({K} % 17 as int)
-      WHEN 0 THEN 'mail user' || {_num(f'{K} % 50', 2)} || '.x@mail.example.com, 电话 138' || {_num(f'{K} * 37 % 100000000', 8)} || ' ok'
-      WHEN 1 THEN 'card 4' || {_num(f'{K} * 7919 % 1000000', 14)} || cast({K} % 10 as varchar(2)) || '; IP 1.2.3.4'
-      WHEN 2 THEN '银行卡 4111 1111 1111 ' || {_num(f'{K} % 10000', 4)} || ' é'
-      WHEN 3 THEN '身份证 11010519' || {_num(f'{K} % 100', 2)} || {_num(f'{K} % 13', 2)} || {_num(f'{K} % 33', 2)} || {_num(f'{K} % 1000', 3)} || substr('0123456789X', cast({K} % 11 as int) + 1, 1)
-      WHEN 4 THEN 'iban DE' || {_num(f'{K} % 100', 2)} || {_num(f'{K} * 7919 % 1000000', 18)} || '.'
-      WHEN 5 THEN 'call +49 ' || {_num(f'{K} * 31', 9)} || ' or 010-' || {_num(K, 8)}
-      WHEN 6 THEN 'server 10.' || cast({K} % 300 as varchar(5)) || '.0.' || cast({K} % 256 as varchar(5)) || ' runs it'
-      WHEN 7 THEN 'sk-' || {_num(K, 20)} || ' AKIA' || {_num(K, 16)} || ' ghp_' || {_num(K, 22)}
-      WHEN 8 THEN 'eyJ' || {_num(K, 12)} || '.' || {_num(K, 12)} || '.' || {_num(K, 12)} || ' 😀 x@y.com'
-      WHEN 9 THEN 'code 91350100M' || {_num(f'{K} * 13 % 100000000', 8)} || substr('{checks.USCC_ALPHABET}', cast({K} % 31 as int) + 1, 1)
-      WHEN 10 THEN '护照 E' || {_num(K, 8)} || ' 车 京A' || {_num(f'{K} % 100000', 5)}
-      WHEN 11 THEN 'steuer ' || {_num(f'12345678000 + {K} * 7919 % 1000000', 11)} || ' 税号'
-      WHEN 12 THEN 'vat DE' || {_num(K, 9)} || ' partita iva ' || {_num(f'{K} * 7919', 11)}
-      WHEN 13 THEN 'dni ' || {_num(f'{K} * 31 % 100000000', 8)} || substr('{checks.DNI_LETTERS}', cast({K} * 31 % 23 as int) + 1, 1) || ' 😀 é X' || {_num(f'{K} % 10000000', 7)} || 'Q'
-      WHEN 14 THEN 'cf RSSMRA' || {_num(f'{K} % 100', 2)} || 'A' || {_num(f'{K} % 31', 2)} || 'H' || {_num(f'{K} % 1000', 3)} || substr('{checks.LETTERS}', cast({K} % 26 as int) + 1, 1)
-      WHEN 15 THEN 'ssn ' || {_num(f'{K} % 1000', 3)} || '-' || {_num(f'{K} % 100', 2)} || '-' || {_num(f'{K} % 10000', 4)}
-      ELSE '1990-02-03 and 4111111111111111 with 13812345678, token ' || {_num(K, 40)} END AS text
-    FROM orders"""
-ALL_TEXTS = f"SELECT doc_id, text FROM ({SYNTH}) UNION ALL SELECT doc_id, text FROM documents"
-EVERY = list(R.BUILT_IN)
-MAIN = [r for r in EVERY if r.name in ("email", "bank_card_plain", "bank_card_grouped", "ipv4", "cn_mobile")]
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """SQL over the tables of a folder; nothing is registered in the session."""
-    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
-    if not used:
-        return spark.sql(sql)
-    sql = sql.replace("{", "{{").replace("}", "}}")
-    for t in used:
-        sql = re.sub(rf"(?i)(\b(?:from|join)\s+){t}\b", rf"\1{{{t}}}", sql)
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
-
-
-def both(name: str, sql: Callable | str) -> None:
-    """A query whose text is the same in both dialects, or a function of the dialect."""
-    text = sql if callable(sql) else lambda d: sql
-    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, text(SPARK))
-    ORACLE[name] = text(DUCK)
-
-
-def frame(name: str, make: Callable[[SparkSession, str], DataFrame], oracle: str | None) -> None:
-    QUERIES[name] = make
-    if oracle:
-        ORACLE[name] = oracle
-
+__all__ = ["ALL_TEXTS", "ORACLE", "QUERIES", "TABLES", "run"]
 
 # Recognisers, alone and together -------------------------------------------------------------
 for _r in (*EVERY, R.TENANT_RULE):
-    frame(f"recognize_{_r.name}", lambda spark, d, r=_r: R.recognize(run(spark, d, ALL_TEXTS), r), R.recognize_sql(ALL_TEXTS, _r))
-frame("no_prefilter_email", lambda spark, d: R.recognize(run(spark, d, ALL_TEXTS), R.without_prefilter(EVERY[0])), R.recognize_sql(ALL_TEXTS, EVERY[0]))
-frame("detect_min_confidence", lambda spark, d: R.detect(run(spark, d, ALL_TEXTS), MAIN, 0.85), R.detect_sql(ALL_TEXTS, MAIN, 0.85))
-frame("resolve_overlaps", lambda spark, d: R.resolve_overlaps(R.detect(run(spark, d, ALL_TEXTS), EVERY)), R.resolve_overlaps_sql(R.detect_sql(ALL_TEXTS, EVERY)))
+    frame(f"recognize_{_r.name}", lambda spark, d, r=_r: R.recognize(all_texts(spark, d), r), R.recognize_sql(ALL_TEXTS, _r))
+frame("no_prefilter_email", lambda spark, d: R.recognize(all_texts(spark, d), R.without_prefilter(EVERY[0])), R.recognize_sql(ALL_TEXTS, EVERY[0]))
+frame("detect_min_confidence", lambda spark, d: R.detect(all_texts(spark, d), MAIN, 0.85), R.detect_sql(ALL_TEXTS, MAIN, 0.85))
+frame("resolve_overlaps", lambda spark, d: R.resolve_overlaps(R.detect(all_texts(spark, d), EVERY)), R.resolve_overlaps_sql(R.detect_sql(ALL_TEXTS, EVERY)))
 _count = "SELECT type, detector, cast(count(*) as bigint) AS n, cast(count(DISTINCT doc_id) as bigint) AS n_docs FROM ({}) GROUP BY type, detector"
-frame("counts_by_recognizer", lambda spark, d: R.detect(run(spark, d, ALL_TEXTS), EVERY).groupBy("type", "detector").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")), _count.format(R.detect_sql(ALL_TEXTS, EVERY)))
-frame("type_allow_list", lambda spark, d: R.detect(run(spark, d, ALL_TEXTS), EVERY).filter(F.col("type").isin("EMAIL", "IP")), f"SELECT * FROM ({R.detect_sql(ALL_TEXTS, EVERY)}) WHERE type IN ('EMAIL', 'IP')")
+frame("counts_by_recognizer", lambda spark, d: R.detect(all_texts(spark, d), EVERY).groupBy("type", "detector").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")), _count.format(R.detect_sql(ALL_TEXTS, EVERY)))
+frame("type_allow_list", lambda spark, d: R.detect(all_texts(spark, d), EVERY).filter(F.col("type").isin("EMAIL", "IP")), f"SELECT * FROM ({R.detect_sql(ALL_TEXTS, EVERY)}) WHERE type IN ('EMAIL', 'IP')")
 _de = R.load("de", disabled=("USCC",))
-frame("pack_de_without_uscc", lambda spark, d: R.detect(run(spark, d, ALL_TEXTS), _de), R.detect_sql(ALL_TEXTS, _de))
+frame("pack_de_without_uscc", lambda spark, d: R.detect(all_texts(spark, d), _de), R.detect_sql(ALL_TEXTS, _de))
 _names = ", ".join(f"('{r.name}', '{r.type}')" for r in EVERY)
 frame(
     "never_fired",
     lambda spark, d: run(spark, d, f"SELECT * FROM (VALUES {_names}) t(detector, type)").join(R.detect(run(spark, d, "SELECT doc_id, text FROM documents"), EVERY), "detector", "left_anti"),
     f"SELECT detector, type FROM (VALUES {_names}) t(detector, type) WHERE detector NOT IN (SELECT detector FROM ({R.detect_sql('SELECT doc_id, text FROM documents', EVERY)}))",
 )
-frame("coverage_gaps", lambda spark, d: run(spark, d, "SELECT * FROM (VALUES ('NAME'), ('ADDRESS'), ('ORG'), ('EMAIL')) t(type)").join(R.detect(run(spark, d, ALL_TEXTS), EVERY), "type", "left_anti"), f"SELECT type FROM (VALUES ('NAME'), ('ADDRESS'), ('ORG'), ('EMAIL')) t(type) WHERE type NOT IN (SELECT type FROM ({R.detect_sql(ALL_TEXTS, EVERY)}))")
+frame("coverage_gaps", lambda spark, d: run(spark, d, "SELECT * FROM (VALUES ('NAME'), ('ADDRESS'), ('ORG'), ('EMAIL')) t(type)").join(R.detect(all_texts(spark, d), EVERY), "type", "left_anti"), f"SELECT type FROM (VALUES ('NAME'), ('ADDRESS'), ('ORG'), ('EMAIL')) t(type) WHERE type NOT IN (SELECT type FROM ({R.detect_sql(ALL_TEXTS, EVERY)}))")
 _amb = "case when type in ('BANK_CARD', 'IBAN', 'ID_CARD', 'USCC', 'EMAIL', 'CREDENTIAL') then 'direct' when type in ('ADDRESS', 'ORG', 'NAME', 'ACCOUNT') then 'verify' when confidence < 0.75 then 'verify' else 'direct' end"
-frame("ambiguity_partition", lambda spark, d: R.detect(run(spark, d, ALL_TEXTS), EVERY).select("doc_id", "type", "start", F.expr(_amb).alias("route")), f"SELECT doc_id, type, start, {_amb} AS route FROM ({R.detect_sql(ALL_TEXTS, EVERY)})")
+frame("ambiguity_partition", lambda spark, d: R.detect(all_texts(spark, d), EVERY).select("doc_id", "type", "start", F.expr(_amb).alias("route")), f"SELECT doc_id, type, start, {_amb} AS route FROM ({R.detect_sql(ALL_TEXTS, EVERY)})")
 
 # Check digits --------------------------------------------------------------------------------
 _samples = {
@@ -130,7 +69,7 @@ _found = R.resolve_overlaps_sql(R.detect_sql(ALL_TEXTS, MAIN))
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.resolve_overlaps(R.detect(run(spark, sf_dir, ALL_TEXTS), MAIN))
+    return R.resolve_overlaps(R.detect(all_texts(spark, sf_dir), MAIN))
 
 
 def _replaced(name: str, spark_value: str, duck_value: str) -> None:
@@ -146,7 +85,7 @@ _replaced("matrix_by_type", _matrix.format(h=W.hashed(SPARK, KEY), c=W.char_mask
 _dates = f"SELECT {K} AS k, CASE cast({K} % 4 as int) WHEN 0 THEN cast(1800 + {K} % 300 as varchar(6)) || '-' || cast({K} % 13 as varchar(3)) || '-3' WHEN 1 THEN cast(1790 + {K} % 320 as varchar(6)) || '年' WHEN 2 THEN '1987年6月5日' ELSE 'n/a' END AS value FROM orders"
 both("generalize_decade", lambda d: f"SELECT k, value, coalesce({W.generalized(d)}, '') AS general FROM ({_dates})")
 both("generalize_year", lambda d: f"SELECT k, value, coalesce({W.generalized(d, True)}, '') AS general FROM ({_dates})")
-frame("redact_documents", lambda spark, d: W.splice(run(spark, d, ALL_TEXTS), _entities(spark, d).select("doc_id", "start_cp", "end_cp", F.expr(W.hashed(SPARK, KEY)).alias("replacement"))), W.splice_sql(ALL_TEXTS, f"SELECT doc_id, start_cp, end_cp, {W.hashed(DUCK, KEY)} AS replacement FROM ({_found})"))
+frame("redact_documents", lambda spark, d: W.splice(all_texts(spark, d), _entities(spark, d).select("doc_id", "start", "end", F.expr(W.hashed(SPARK, KEY)).alias("replacement"))), W.splice_sql(ALL_TEXTS, f"SELECT doc_id, start_cp, end_cp, {W.hashed(DUCK, KEY)} AS replacement FROM ({_found})"))
 
 _session = f"SELECT doc_id, session, text FROM ({SYNTH})"
 _session_found = R.resolve_overlaps_sql(R.detect_sql(_session, MAIN))
@@ -163,7 +102,7 @@ def _session_entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 def _masked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts, found, vaults = _session_entities(spark, sf_dir)
-    spans = found.join(vaults, ["session", "type", "value"]).select("doc_id", "start_cp", "end_cp", F.col("placeholder").alias("replacement"))
+    spans = found.join(vaults, ["session", "type", "value"]).select("doc_id", "start", "end", F.col("placeholder").alias("replacement"))
     return texts, W.splice(texts, spans), vaults
 
 

@@ -66,7 +66,7 @@ def test_restore_forms(spark):
 
 def test_overlap_blocks_a_row(spark):
     docs = spark.createDataFrame([(1, "abcdef"), (2, "abc")], "doc_id int, text string")
-    spans = spark.createDataFrame([(1, 0, 3, "x"), (1, 2, 4, "y"), (2, 1, 2, "Z")], "doc_id int, start_cp int, end_cp int, replacement string")
+    spans = spark.createDataFrame([(1, 0, 3, "x"), (1, 2, 4, "y"), (2, 1, 2, "Z")], "doc_id int, start int, end int, replacement string")
     assert {r.doc_id: (r.redacted, r.status) for r in W.splice(docs, spans).collect()} == {1: (None, "blocked"), 2: ("aZc", "ok")}
 
 
