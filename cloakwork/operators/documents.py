@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The paths whose texts may be rewritten, with their kinds.
@@ -27,6 +27,12 @@ def _steps(path: str) -> list[str]:
     return path.replace("[*]", ".[*]").split(".")
 
 
+def element_id(item, position: int) -> str:
+    """An element's own index, which streams keep from frame to frame, before its place in the list."""
+    own = item.get("index") if isinstance(item, dict) else None
+    return str(own) if isinstance(own, int) and not isinstance(own, bool) else str(position)
+
+
 def _rewrite(node, steps: list[str], kind: str, at: tuple, f: Callable[[tuple, str], str]):
     """``node`` with the texts that the steps lead to passed through ``f``."""
     if not steps:
@@ -41,7 +47,7 @@ def _rewrite(node, steps: list[str], kind: str, at: tuple, f: Callable[[tuple, s
         return dumps(_values(inner, at, f)) if isinstance(inner, (dict, list)) else node
     step, rest = steps[0], steps[1:]
     if step == "[*]":
-        return [_rewrite(x, rest, kind, (*at, str(i)), f) for i, x in enumerate(node)] if isinstance(node, list) else node
+        return [_rewrite(x, rest, kind, (*at, element_id(x, i)), f) for i, x in enumerate(node)] if isinstance(node, list) else node
     if step == "**":
         node = _rewrite(node, rest, kind, at, f)
         if isinstance(node, dict):
@@ -68,11 +74,39 @@ def walk(payload: str, rules: tuple, f: Callable[[tuple, str], str]) -> str | No
         node = json.loads(payload)
     except (TypeError, ValueError):
         return None
-    if not isinstance(node, dict):
-        return None
+    return dumps(rewritten(node, rules, f)) if isinstance(node, dict) else None
+
+
+def rewritten(node: dict, rules: tuple, f: Callable[[tuple, str], str]) -> dict:
     for path, kind in rules:
         node = _rewrite(node, _steps(path), kind, (), f)
-    return dumps(node)
+    return node
+
+
+def describe(rules: tuple = REQUEST) -> list[str]:
+    """The whitelist in words, a line a rule."""
+    return [f"{path}: {'values of the object' if kind == 'object' else 'values of the JSON inside' if kind == 'json' else 'text'}" for path, kind in rules]
+
+
+def sanitize(docs: DataFrame, redact: Callable[[DataFrame], DataFrame], rules: tuple = REQUEST) -> DataFrame:
+    """(doc_id, payload, status): payloads whose listed texts went through ``redact``, a function from (doc_id, text) to
+    (doc_id, redacted, status).  A payload that is no object, or one of whose texts is blocked, is blocked as a whole."""
+    found = leaves(docs, rules)
+    keyed = found.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("leaf_no").cast("string")).alias("doc_id"), "text")
+    done = redact(keyed).select(F.split("doc_id", "/").alias("at"), "redacted", "status")
+    done = done.select(F.get("at", F.lit(0)).cast("long").alias("doc_id"), F.get("at", F.lit(1)).cast("int").alias("leaf_no"), F.col("redacted").alias("text"), "status")
+    bad = done.filter("status <> 'ok'").select("doc_id", F.lit(True).alias("bad")).distinct()
+    out = put_back(docs, done.filter("status = 'ok'").select("doc_id", "leaf_no", "text"), rules).join(bad, "doc_id", "left")
+    fine = F.col("bad").isNull() & F.col("payload").isNotNull()
+    return out.select("doc_id", F.when(fine, F.col("payload")).alias("payload"), F.when(fine, "ok").otherwise("blocked").alias("status"))
+
+
+def frame_class(frame: Column) -> Column:
+    """What a stream's frame carries: text, tool_call or other."""
+    choices = F.from_json(F.get_json_object(frame, "$.choices"), "array<string>")
+    text = F.exists(choices, lambda c: F.concat(*(F.coalesce(F.get_json_object(c, f"$.delta.{k}"), F.lit("")) for k in ("content", "reasoning_content", "text"))) != "")
+    calls = F.exists(choices, lambda c: F.get_json_object(c, "$.delta.tool_calls[0]").isNotNull())
+    return F.when(F.coalesce(text, F.lit(False)), "text").when(F.coalesce(calls, F.lit(False)), "tool_call").otherwise("other")
 
 
 def leaves(docs: DataFrame, rules: tuple = REQUEST) -> DataFrame:
