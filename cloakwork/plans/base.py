@@ -46,6 +46,8 @@ SYNTH = f"""
 ALL_TEXTS = f"SELECT doc_id, text FROM ({SYNTH}) UNION ALL SELECT doc_id, text FROM documents"
 EVERY = list(R.BUILT_IN)
 MAIN = [r for r in EVERY if r.name in ("email", "bank_card_plain", "bank_card_grouped", "ipv4", "cn_mobile")]
+#: What texts are redacted of: everything that has a pattern, tenants' tokens too.
+REDACTED = [*EVERY, R.TENANT_RULE]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

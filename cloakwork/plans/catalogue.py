@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
+from ..functions import words as WORDS
 from ..functions.dialect import DUCK, SPARK
 from ..functions.keys import hmac_hex
 from ..operators import documents as D
 from ..operators import recognizers as R
 from ..operators import rewrite as W
 from ..sources import lines as L
-from .base import ALL_TEXTS, EVERY, KEY, MAIN, ORACLE, QUERIES, SYNTH, TABLES, K, _num, all_texts, both, frame, run
+from .base import ALL_TEXTS, EVERY, KEY, MAIN, ORACLE, QUERIES, REDACTED, SYNTH, TABLES, K, _num, all_texts, both, frame, run
 
 __all__ = ["ALL_TEXTS", "ORACLE", "QUERIES", "TABLES", "run"]
 
@@ -65,11 +66,11 @@ both(
 both("byte_offsets", lambda d: f"SELECT doc_id, cast(length(text) as int) AS n_chars, cast({d.bytes('text')} as int) AS n_bytes FROM ({ALL_TEXTS})")
 
 # Rewriting -----------------------------------------------------------------------------------
-_found = R.resolve_overlaps_sql(R.detect_sql(ALL_TEXTS, MAIN))
+_found = R.resolve_overlaps_sql(R.detect_sql(ALL_TEXTS, REDACTED))
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.resolve_overlaps(R.detect(all_texts(spark, sf_dir), MAIN))
+    return R.resolve_overlaps(R.detect(all_texts(spark, sf_dir), REDACTED))
 
 
 def _replaced(name: str, spark_value: str, duck_value: str) -> None:
@@ -88,15 +89,15 @@ both("generalize_year", lambda d: f"SELECT k, value, coalesce({W.generalized(d,
 frame("redact_documents", lambda spark, d: W.splice(all_texts(spark, d), _entities(spark, d).select("doc_id", "start", "end", F.expr(W.hashed(SPARK, KEY)).alias("replacement"))), W.splice_sql(ALL_TEXTS, f"SELECT doc_id, start_cp, end_cp, {W.hashed(DUCK, KEY)} AS replacement FROM ({_found})"))
 
 _session = f"SELECT doc_id, session, text FROM ({SYNTH})"
-_session_found = R.resolve_overlaps_sql(R.detect_sql(_session, MAIN))
+_session_found = R.resolve_overlaps_sql(R.detect_sql(_session, REDACTED))
 _vault = f"""SELECT session, type, value, (row_number() OVER (PARTITION BY session, type ORDER BY first) - 1)::INT AS idx FROM (
     SELECT session, type, value, min({{'doc_id': doc_id, 'start': start}}) AS first FROM ({_session_found}) JOIN (SELECT doc_id, session FROM ({SYNTH})) USING (doc_id) GROUP BY session, type, value)"""
 _vault = f"SELECT *, 'ANONYMIZED_' || type || '_' || idx AS placeholder FROM ({_vault})"
 
 
 def _session_entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    texts = run(spark, sf_dir, _session)
-    found = R.resolve_overlaps(R.detect(texts, MAIN)).join(texts.select("doc_id", "session"), "doc_id")
+    texts = run(spark, sf_dir, _session).repartition(spark.sparkContext.defaultParallelism)
+    found = R.resolve_overlaps(R.detect(texts, REDACTED)).join(texts.select("doc_id", "session"), "doc_id")
     return texts, found, W.vault(found, ["session"], ["doc_id", "start"])
 
 
@@ -121,32 +122,12 @@ frame("leak_scan", lambda spark, d: W.leaks(run(spark, d, _session), ["session"]
 frame("audit_counts", lambda spark, d: _session_entities(spark, d)[2].groupBy("session", "type").agg(F.count("*").alias("n")), f"SELECT session, type, count(*) AS n FROM ({_vault}) GROUP BY session, type")
 both("session_fingerprint", lambda d: f"SELECT session, left({hmac_hex(d, KEY, "('session' || ':' || cast(session as varchar(20)))")}, 16) AS fingerprint FROM (SELECT DISTINCT cast(o_custkey as bigint) AS session FROM orders)")
 
-# Rosters and surnames ------------------------------------------------------------------------
-_people = "SELECT cast(c_custkey as bigint) AS doc_id, 'from ' || lower(n_name) || ' and ' || n_name || ' 张伟 小李娜 欧阳修的 ' || c_name AS text FROM customer JOIN nation ON c_nationkey = n_nationkey"
-_roster = "SELECT 'COUNTRY' AS type, lower(n_name) AS term FROM nation UNION ALL SELECT 'NAME', '张伟' UNION ALL SELECT 'NAME', '李娜'"
-both(
-    "roster_hits",
-    lambda d: f"""SELECT doc_id, type, term, cast(pos - 1 as int) AS start_cp FROM (SELECT doc_id, lower(text) AS t, {"explode(sequence(1, length(text)))" if d.spark else "unnest(range(1, length(text) + 1))"} AS pos FROM ({_people})) p
-    JOIN ({_roster}) r ON substr(t, cast(pos as int), length(term)) = term WHERE length(term) >= 2""",
-)
-#: Some compound surnames, runes that end a name, runes that may not stand before one.
-_surnames, _stops, _blocks = ("欧阳", "司徒", "司马", "上官", "诸葛"), "的了是在和与及或就都很不没有把被将从对向为以但而且因所如果虽然这那些个们呢吗吧啊呀哦嗯其乃即则却", "小老大阿"
-both(
-    "surname_candidates",
-    lambda d: f"""SELECT doc_id, cast(pos - 1 as int) AS start_cp, substr(text, cast(pos as int), cast(2 + n as int)) AS value, cast(0.7 as double) AS confidence
-    FROM (SELECT doc_id, text, {"explode(sequence(1, length(text)))" if d.spark else "unnest(range(1, length(text) + 1))"} AS pos FROM ({_people})) p CROSS JOIN (VALUES (1), (2)) g(n)
-    WHERE substr(text, cast(pos as int), 2) IN ({", ".join(f"'{s}'" for s in _surnames)}) AND (pos = 1 OR instr('{_blocks}', substr(text, cast(pos - 1 as int), 1)) = 0)
-      AND length(substr(text, cast(pos + 2 as int), n)) = n AND {d.test("substr(text, cast(pos + 2 as int), n)", f"^[一-鿿]+$")} AND NOT {d.test("substr(text, cast(pos + 2 as int), n)", f"[{_stops}]")}""",
-)
-
 # Relevance, frames and telemetry -------------------------------------------------------------
 _asks = "SELECT * FROM (VALUES (1, 'where is 星辰科技 now', 'ORG', '星辰科技'), (2, '客户 家住 北京路1号', 'ADDRESS', '北京路1号'), (3, '北京路1号 怎么走', 'ADDRESS', '北京路1号'), (4, 'call 张伟', 'NAME', '张伟'), (5, '星辰科技 report', 'ORG', '星辰科技')) t(doc_id, text, type, value)"
-_own = ("住址", "家住", "住在", "居住", "户籍", "的地址", "的住所", "收货地址", "联系地址", "身份证", "客户", "患者", "员工", "lives at", "resides at", "home address", "his address", "her address", "customer", "patient", "employee")
-_topic = ("怎么走", "怎么去", "邮编", "邮政编码", "在哪", "位于", "距离", "营业时间", "电话是多少", "介绍一下", "是什么公司", "属于哪", "how to get to", "directions to", "postcode", "zip code", "where is", "opening hours", "what company")
 _has = lambda words: "(" + " or ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
-both("relevance", f"SELECT doc_id, type, type IN ('ADDRESS', 'ORG') AND NOT {_has(_own)} AND {_has(_topic)} AS preserved FROM ({_asks})")
+both("relevance", f"SELECT doc_id, type, type IN ('ADDRESS', 'ORG') AND NOT {_has(WORDS.OWN)} AND {_has(WORDS.TOPIC)} AS preserved FROM ({_asks})")
 both("snippet_offsets", f"SELECT doc_id, value, cast(instr(text, value) - 1 as int) AS evidence_start, instr(text, value) > 0 AS verbatim FROM ({_asks})")
-_skip = "('http.status_code'), ('http.method'), ('span.kind'), ('error.type'), ('rpc.system'), ('db.system')"
+_skip = ", ".join(f"('{k}')" for k in WORDS.SKIP_KEYS)
 both("telemetry_fields", f"SELECT event_id, k FROM (SELECT event_id, CASE cast(event_id % 4 as int) WHEN 0 THEN 'http.method' WHEN 1 THEN 'user.note' WHEN 2 THEN 'span.kind' ELSE event_type END AS k FROM events) e LEFT ANTI JOIN (SELECT * FROM (VALUES {_skip}) t(key)) s ON k = key".replace("LEFT ANTI JOIN", "LEFT ANTI JOIN"))
 ORACLE["telemetry_fields"] = ORACLE["telemetry_fields"].replace("LEFT ANTI JOIN", "ANTI JOIN")
 
@@ -154,16 +135,9 @@ ORACLE["telemetry_fields"] = ORACLE["telemetry_fields"].replace("LEFT ANTI JOIN"
 _sec = lambda d: "unix_timestamp(ts)" if d.spark else "cast(floor(epoch(ts)) as bigint)"
 both("token_window", lambda d: f"SELECT event_id, user_id, cast(sum(tokens) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) as bigint) AS used FROM (SELECT event_id, user_id, {_sec(d)} AS s, cast(floor(value) as bigint) + 1 AS tokens FROM events)")
 both("usage_estimate", lambda d: f"SELECT cast(conv_id as bigint) AS conv_id, cast(sum(cast(floor({d.bytes('text')} / 3.0) as bigint)) as bigint) AS tokens, cast(count(*) as bigint) AS turns FROM conversations GROUP BY conv_id")
-_pressure = "CASE WHEN kv >= 0.9 OR waiting >= 32 THEN 'critical' WHEN kv >= 0.75 OR waiting >= 8 THEN 'elevated' ELSE 'normal' END"
-both("admission", f"SELECT event_id, pressure, CASE pressure WHEN 'normal' THEN true WHEN 'critical' THEN priority >= 8 ELSE priority >= 4 END AS admitted FROM (SELECT event_id, priority, {_pressure} AS pressure FROM (SELECT event_id, cast(event_id % 100 as double) / 100 AS kv, event_id % 41 AS waiting, event_id % 10 AS priority FROM events))")
 both("preemption_rise", "SELECT event_id, user_id, coalesce(p > lag(p) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS rose FROM (SELECT event_id, user_id, ts, event_id % 5 AS p FROM events)")
-both("breaker_runs", "SELECT user_id, cast(max(n) as bigint) AS longest, max(n) >= 5 AS opens FROM (SELECT user_id, g, sum(bad) AS n FROM (SELECT user_id, bad, sum(1 - bad) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 > 0 THEN 1 ELSE 0 END AS bad FROM events)) GROUP BY user_id, g) GROUP BY user_id")
-both("budget_crossing", "SELECT user_id, cast(min(event_id) as bigint) AS first_over FROM (SELECT user_id, event_id, sum(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM (SELECT user_id, event_id, ts, event_id % 7 AS cents FROM events)) WHERE spent >= 20 GROUP BY user_id")
-both("route_decision", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'explicit' WHEN event_type = 'purchase' THEN 'premium' WHEN event_id % 10 >= 8 THEN 'fast' ELSE 'default' END AS tier FROM events")
-both("first_token_gap", "SELECT user_id, cast(count(*) as bigint) AS n, min(event_id) AS first_event FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= 2 GROUP BY user_id")
 both("affinity_key", lambda d: f"SELECT conv_id, {'sha2(' if d.spark else 'sha256('}role || ':' || text{', 256)' if d.spark else ')'} AS prefix_key FROM conversations WHERE turn = 0")
 both("cache_hits", "SELECT source, cast(count(*) as bigint) AS calls, cast(count(*) - count(DISTINCT text) as bigint) AS hits FROM documents GROUP BY source")
-both("eval_by_category", "SELECT coalesce(lang, 'total') AS category, cast(sum(CASE WHEN toxic = 1 AND quality = 1 THEN 1 ELSE 0 END) as bigint) AS tp, cast(sum(CASE WHEN toxic = 0 AND quality = 1 THEN 1 ELSE 0 END) as bigint) AS fp, cast(sum(CASE WHEN toxic = 1 AND quality = 0 THEN 1 ELSE 0 END) as bigint) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)")
 both("latency_percentiles", "SELECT event_type, max(CASE WHEN rn = cast(floor(0.5 * (n - 1)) as bigint) + 1 THEN value END) AS p50, max(CASE WHEN rn = cast(floor(0.99 * (n - 1)) as bigint) + 1 THEN value END) AS p99 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
 
 
@@ -186,6 +160,9 @@ def _sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
 frame("payload_round_trip", _sanitized, "SELECT (conv_id * 1000 + turn)::BIGINT AS doc_id, regexp_replace(text, '[0-9]', '#', 'g') AS content, '9007199254740993' AS big FROM conversations")
 
 
+from . import control, names  # noqa: E402, F401  they register their queries
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by keyed hashes."""
     return QUERIES["redact_documents"](spark, sf_dir)
