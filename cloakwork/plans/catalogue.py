@@ -142,9 +142,12 @@ both("latency_percentiles", "SELECT event_type, max(CASE WHEN rn = cast(floor(0.
 
 
 # Line formats and payloads --------------------------------------------------------------------
-_lines = "SELECT * FROM (VALUES (1, 1, 'event: delta'), (1, 2, 'data: one'), (1, 3, 'data:two'), (1, 4, ': note'), (1, 5, ''), (1, 6, 'data: [DONE]'), (2, 1, 'data: {1}'), (2, 2, 'id: 7')) t(stream_id, line_no, line)"
+_lines = """SELECT conv_id AS stream_id, turn * 8 + n AS line_no, CASE n WHEN 0 THEN 'event: ' || role WHEN 1 THEN 'id:' || turn WHEN 2 THEN CASE WHEN turn % 2 = 0 THEN ': note' ELSE 'retry: 30' END
+    WHEN 3 THEN 'data: ' || role || ': ' || length(text) WHEN 4 THEN 'data' WHEN 5 THEN 'data:' || conv_id WHEN 6 THEN 'event: again' ELSE CASE WHEN turn % 3 = 2 THEN 'other: x' ELSE '' END END AS line
+    FROM conversations CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) t(n) WHERE text IS NOT NULL"""
 both("sse_events", lambda d: L.events(d, _lines))
-_metrics = "SELECT * FROM (VALUES ('a', '# HELP x'), ('a', 'vllm:num_requests_running{m=\"x\"} 3.0'), ('a', 'vllm:num_requests_waiting 9'), ('a', 'vllm:gpu_cache_usage_perc{m=\"x\"} 0.5'), ('b', 'vllm:num_requests_running 1'), ('b', 'other 5')) t(backend, line)".replace('{m="x"}', "{m=x}")
+_metrics = """SELECT 'b' || cast(floor(event_id / 8) as bigint) AS backend, CASE event_id % 8 WHEN 0 THEN '# HELP x' WHEN 1 THEN 'vllm:num_requests_running{m="x y"} ' || event_id WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'vllm:num_requests_waiting 9' ELSE 'vllm:num_requests_waiting nothing' END
+    WHEN 3 THEN 'vllm:gpu_cache_usage_perc{m="x"} 0.5' WHEN 4 THEN 'vllm:prefix_cache_hits_total 1e3' WHEN 5 THEN 'vllm:num_preemptions_total 2.0' WHEN 6 THEN 'other 5' ELSE 'vllm:prefix_cache_queries_total ' || event_id END AS line FROM events"""
 both("load_snapshots", lambda d: L.snapshots(d, _metrics))
 _payloads = "SELECT cast(conv_id * 1000 + turn as bigint) AS doc_id, to_json(named_struct('model', 'm', 'big', 9007199254740993, 'messages', array(named_struct('role', role, 'content', text)))) AS payload FROM conversations"
 frame("payload_leaves", lambda spark, d: D.leaves(run(spark, d, _payloads)), "SELECT (conv_id * 1000 + turn)::BIGINT AS doc_id, 0 AS leaf_no, 'messages/0/content' AS path, text FROM conversations WHERE text IS NOT NULL")

@@ -52,9 +52,9 @@ def streamed(spark, tmp_path, rows, schema, restore, column="text"):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     out = restore(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), vaults)
     name = f"out_{abs(hash(str(tmp_path)))}"
-    q = out.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/cp").start()  # waits for idle streams, so never ends by itself
-    q.processAllAvailable()
-    q.stop()
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else it goes on to wait for idle streams and never ends
+    q = out.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(150)
     return spark.table(name).orderBy("tenant", "session", "stream_id", "seq", "part").collect()
 
 
@@ -125,3 +125,16 @@ def test_sanitized_payloads(spark):
     got = {r.doc_id: (r.payload, r.status) for r in D.sanitize(docs, redact).collect()}
     assert json.loads(got[1][0])["messages"] == [{"content": "mail #"}, {"content": "fine"}] and got[2] == got[3] == (None, "blocked")
     assert len(D.describe()) == 16 and len(D.describe(D.RESPONSE)) == 11
+
+
+def test_events_are_read_as_they_are_written(spark):
+    from cloakwork.functions.dialect import SPARK
+    from cloakwork.sources import lines as L
+
+    rows = [(1, "delta", "7", "30", "one\ntwo"), (2, None, None, None, ""), (3, "e", "", None, "x" * 50)]
+    df = spark.createDataFrame(rows, "n int, event string, id string, retry string, data string")
+    text = "".join(r[0] for r in df.orderBy("n").select(L.written(*(F.col(c) for c in ("event", "id", "retry", "data")))).collect()) + L.DONE
+    lined = spark.createDataFrame([(1, i, x) for i, x in enumerate(text.split("\n"))], "stream_id int, line_no int, line string")
+    lined.createOrReplaceTempView("sse_lines")
+    got = spark.sql(L.events(SPARK, "SELECT * FROM sse_lines", 40)).orderBy("event_no").collect()
+    assert [(r.event, r.id, r.retry, r.data, r.too_long) for r in got] == [("delta", "7", "30", "one\ntwo", False), (None, None, None, "", False), ("e", None, None, None, True), (None, None, None, "[DONE]", False)]
