@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 from .common import kth_largest, map_batches, mix64, ordered_bits, staged, texts
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 USABLE = "n_features > 0 and not toxic_text"
 
 
