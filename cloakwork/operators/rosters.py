@@ -197,14 +197,18 @@ def cascade_stats(docs: DataFrame, settled: DataFrame, out: DataFrame) -> DataFr
 
 
 def chunked(docs: DataFrame, detect, runes: int = 16_384, margin: int = 512) -> DataFrame:
-    """``detect`` applied to overlapping pieces of long texts, so that one text is spread over many tasks: the pieces'
-    entities moved to their place in the text, repeats from the margins taken once, overlaps resolved."""
-    step = runes - margin
-    cut = F.expr(f"transform(sequence(0, greatest(0, (length(text) - {margin} - 1) div {step})), i -> struct(i, substr(text, i * {step} + 1, {runes}) as piece, octet_length(left(text, i * {step})) as b))")
-    rows = docs.select("doc_id", F.explode(cut).alias("x")).select(F.struct("doc_id", F.col("x.i").alias("i"), F.col("x.b").alias("b")).alias("doc_id"), F.col("x.piece").alias("text"))
+    """``detect`` applied to overlapping pieces of long texts, so that one text is spread over many tasks.
+
+    A piece answers for the entities that begin between the middles of its two margins: there both sides of an entity
+    are seen, and no entity is given twice.  Places are moved to the text's, overlaps resolved.
+    """
+    step, half = runes - margin, margin // 2
+    cut = F.expr(f"transform(sequence(0, greatest(0, (length(text) - {margin} - 1) div {step})), i -> struct(i, substr(text, i * {step} + 1, {runes}) as piece, octet_length(left(text, i * {step})) as b, i = greatest(0, (length(text) - {margin} - 1) div {step}) as last))")
+    rows = docs.select("doc_id", F.explode(cut).alias("x")).select(F.struct("doc_id", F.col("x.i").alias("i"), F.col("x.b").alias("b"), F.col("x.last").alias("last")).alias("doc_id"), F.col("x.piece").alias("text"))
     found = detect(rows.repartition(docs.sparkSession.sparkContext.defaultParallelism))
+    found = found.filter(((F.col("doc_id.i") == 0) | (F.col("start_cp") >= half)) & (F.col("doc_id.last") | (F.col("start_cp") < step + half)))
     moved = found.select(F.col("doc_id.doc_id").alias("id"), "detector", "type", "value", *((F.col(c) + F.col("doc_id.b")).cast("int").alias(c) for c in ("start", "end")), *((F.col(c) + F.col("doc_id.i") * step).cast("int").alias(c) for c in ("start_cp", "end_cp")), "confidence")
-    return R.resolve_overlaps(moved.withColumnRenamed("id", "doc_id").dropDuplicates(["doc_id", "start", "end", "type", "detector"]))
+    return R.resolve_overlaps(moved.withColumnRenamed("id", "doc_id"))
 
 
 def script_runs(docs: DataFrame) -> DataFrame:
