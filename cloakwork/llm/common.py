@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _LOCAL: dict[str, str] = {}
+_KEPT: dict = {}
+_LIBC = ctypes.CDLL(None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -77,7 +80,30 @@ def map_batches(df: DataFrame, function, schema: str | StructType, *args) -> Dat
 
 
 def _run(function, args, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from function(batches, *args)
+    """A worker outlives its tasks: each gives back what it used, and finds nothing kept by another function's tasks."""
+    if _KEPT.get("by") != (owner := f"{function.__module__}.{function.__qualname__}"):
+        _KEPT.clear()
+        give_back()
+        _KEPT["by"] = owner
+    try:
+        yield from function(batches, *args)
+    finally:
+        give_back()
+
+
+def kept(key: str, make):
+    """``make(key)``, kept in the worker for the next tasks of the running function; one key at a time."""
+    if _KEPT.get("key") != key:
+        _KEPT.pop("value", None)
+        _KEPT["value"], _KEPT["key"] = make(key), key
+    return _KEPT["value"]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: allocators keep it for a process that may next run something else."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc
+        _LIBC.malloc_trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

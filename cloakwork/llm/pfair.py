@@ -12,7 +12,8 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,6 +83,12 @@ def one_period(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return plan
 
 
+def _table(spark: SparkSession, rows: list[tuple], longs: list[str]) -> DataFrame:
+    """(mix_k, longs) from the driver as Arrow: rows given as a list go through Python workers of their own on the executors."""
+    key, *rest = zip(*rows, strict=True)
+    return spark.createDataFrame(pa.table([pa.array(key, pa.string()), *(pa.array(c, pa.int64()) for c in rest)], names=["mix_k", *longs]))
+
+
 def schedule(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with mix_block, mix_slot, mix_release, mix_deadline and mix_rank (place in its block).
 
@@ -103,8 +110,8 @@ def schedule(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     share = quotas(weights, s.period)
     period = sum(share.values())
     rows = max(s.slice_rows, sum(counts.values()) // s.slices + 1)
-    of_source = spark.createDataFrame([(k, -(-n // rows), share[k]) for k, n in counts.items()], "mix_k string, mix_slices long, mix_quota long")
-    plan = spark.createDataFrame([(k, i, slot, a, b) for k, i, slot, a, b in one_period(share)], "mix_k string, mix_i long, mix_at long, mix_from long, mix_by long")
+    of_source = _table(spark, [(k, -(-n // rows), share[k]) for k, n in counts.items()], ["mix_slices", "mix_quota"])
+    plan = _table(spark, one_period(share), ["mix_i", "mix_at", "mix_from", "mix_by"])
     plain = [F.col(f"`{f.name.replace('`', '``')}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     mixed = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(s.seed), *plain)).otherwise(F.xxhash64(F.lit(s.seed), F.col("doc_id")))
     row, id_ = F.struct(*own) if own else F.struct(F.lit(0).alias("mix")), F.col("doc_id")

@@ -7,7 +7,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +18,15 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from . import wavelet
-from .common import map_batches, scratch_path, small_batches, staged
+from .common import kept, map_batches, scratch_path, small_batches, staged
 
 #: Texts of these characters, with no two white spaces in a row, are cut before each space and line end, places
 #: that byte-level BPE of this family never merges across.  Texts that match this go to the library whole.
 ODD = r"[^\n\x20-\x7E\x{A1}-\x{17F}]|[\n ][\n ]"
 FIRST = "\x00"  # marks the first unit of a text: no space stands before it
-CACHE_UNITS, ENCODE_BYTES = 1_500_000, 10 << 20
+CACHE_UNITS, CACHE_BYTES, ENCODE_BYTES = 1_500_000, 64 << 20, 10 << 20
+TABLE_UNITS, UNITS_AT_ONCE = 1 << 18, 1 << 17  # hashed at once; laid out as ids at once
 SHARD_TOKENS = 2_000_000
-_ENCODERS: dict[str, Encoder] = {}
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,8 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """The library's ids.  Merges never cross units, so each distinct unit is encoded once and kept in a table."""
+    """The library's ids.  Merges never cross units, so each distinct unit is encoded once and kept in tables, which are
+    searched one by one and emptied beyond CACHE_UNITS or CACHE_BYTES."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -63,17 +64,24 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.known = pa.array([], pa.string())
-        self.first, self.length, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16), 0
+        self.tables: list[pa.Array] = []
+        self.units = self.used = 0
+        self.first, self.length, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint16)
+
+    def held(self) -> int:
+        """Bytes of the tables."""
+        return sum(t.nbytes for t in self.tables) + self.first.nbytes + self.length.nbytes + self.ids.nbytes
 
     @staticmethod
     def _room(x: np.ndarray, n: int) -> np.ndarray:
-        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 3 * len(x) // 2) - len(x), x.dtype)])
+        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 5 * len(x) // 4) - len(x), x.dtype)])
 
-    def _learn(self, keys: list[str]) -> None:
-        """Units with a space or line end before them are run together: an id that opens so begins the next unit."""
+    def _learn(self, keys: list[str]) -> pa.Array:
+        """Units with a space or line end before them are run together: an id that opens so begins the next unit.
+        Returns the keys in the order of their places, the last ones taken."""
         keys.sort(key=lambda k: k[:1] == FIRST)
         joined = sum(k[:1] != FIRST for k in keys)
+        self.first, self.length = self._room(self.first, self.units + len(keys)), self._room(self.length, self.units + len(keys))
         for at, end in [(i, min(i + 8192, joined)) for i in range(0, joined, 8192)] + [(i, i + 8192) for i in range(joined, len(keys), 8192)]:
             part = keys[at:end]
             if at < joined:
@@ -88,67 +96,76 @@ class Encoder:
                 got = [e.ids for e in self.library.encode_batch([k[1:] for k in part], add_special_tokens=False)]
                 length = np.fromiter(map(len, got), np.int64, len(got))
                 flat = np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum()))
-            n = len(self.known)
+            n = self.units
             if self.ids.dtype == np.uint16 and len(flat) and flat.max() > 0xFFFF:
                 self.ids = self.ids.astype(np.uint32)
-            self.first, self.length = self._room(self.first, n + len(part)), self._room(self.length, n + len(part))
             self.ids = self._room(self.ids, self.used + len(flat))
             self.ids[self.used : self.used + len(flat)] = flat
             self.length[n : n + len(part)] = length
             self.first[n : n + len(part)] = self.used + np.cumsum(length) - length
             self.used += len(flat)
-            self.known = pa.concat_arrays([self.known, pa.array(part, pa.string())])
+            self.units += len(part)
+        learned = pa.array(keys, pa.string())
+        if self.tables and len(self.tables[-1]) + len(learned) <= TABLE_UNITS:
+            self.tables[-1] = pa.concat_arrays([self.tables[-1], learned])
+        else:
+            self.tables.append(learned)
+        return learned
 
     def _find(self, keys: pa.Array) -> np.ndarray:
-        """Places of the keys in the table; new ones are learned first."""
-        at = pc.index_in(keys, value_set=self.known)
-        new = keys.filter(at.is_null())
-        if not len(new):
-            return at.to_numpy().astype(np.int64)
-        self._learn(pc.unique(new).to_pylist())
-        fresh = self.known.slice(len(self.known) - len(pc.unique(new)))
-        later = pc.add(pc.index_in(keys, value_set=fresh), pa.scalar(len(self.known) - len(fresh), pa.int32()))
-        return pc.coalesce(at, later).to_numpy().astype(np.int64)
+        """Places of the keys in the tables; new ones are learned at the end.  One table is hashed at a time."""
+        out, left, base = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
+
+        def seek(table: pa.Array) -> None:
+            nonlocal keys, left
+            at = pc.index_in(keys, value_set=table)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            out[left[known]] = base + at.drop_null().to_numpy()
+            keys, left = keys.filter(at.is_null()), left[~known]
+
+        for table in self.tables:
+            seek(table)
+            base += len(table)
+        if len(left):
+            seek(self._learn(pc.unique(keys).to_pylist()))
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
         return self.many(pa.array([text]))[0]
 
     def many(self, batch: pa.Array) -> list[np.ndarray]:
         """Ids of each text of an Arrow array without nulls."""
-        if len(self.known) > CACHE_UNITS:
+        if self.units > CACHE_UNITS or self.held() > CACHE_BYTES:
             self._empty()
         whole = pc.match_substring_regex(batch, self.odd).to_numpy(zero_copy_only=False) if self.by_unit else np.ones(len(batch), bool)
-        plain = batch.filter(pa.array(~whole))
-        units = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
-        edges = units.offsets.to_numpy()
+        units = pc.split_pattern(pc.replace_substring(batch.filter(pa.array(~whole)), "\n", " \n"), " ")
+        edges = units.offsets.to_numpy() - units.offsets[0].as_py()
         folded = units.flatten().dictionary_encode()
+        del units
         kinds, of = folded.dictionary, folded.indices.to_numpy()
-        leads = edges[:-1] - edges[0]
-        marked = pc.binary_join_element_wise(FIRST, kinds.take(pa.array(of[leads])), "")
-        found = self._find(pa.concat_arrays([kinds, marked]))
-        at = found[of]
-        at[leads] = found[len(kinds) :]
-        length = self.length[at]
-        upto = np.cumsum(length)
-        flat = self.ids[np.repeat(self.first[at] - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = iter(np.concatenate([[0], upto])[edges[1:] - edges[0]].tolist())
-        out, start = [], 0
-        for i, w in enumerate(whole.tolist()):
-            if w:
-                out.append(np.array(self.library.encode(batch[i].as_py(), add_special_tokens=False).ids, np.uint32))
-            else:
-                end = next(ends)
-                out.append(flat[start:end])
-                start = end
-        return out
+        found = self._find(pa.concat_arrays([kinds, pc.binary_join_element_wise(FIRST, kinds.take(pa.array(of[edges[:-1]])), "")]))
+        plain = self._laid(found[: len(kinds)], of, found[len(kinds) :], edges)
+        return [np.array(self.library.encode(batch[i].as_py(), add_special_tokens=False).ids, np.uint32) if w else next(plain) for i, w in enumerate(whole.tolist())]
+
+    def _laid(self, found: np.ndarray, of: np.ndarray, opening: np.ndarray, edges: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of each text, about UNITS_AT_ONCE units at a time; ``opening``: places of the texts' first units."""
+        lo = 0
+        while lo < len(opening):
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + UNITS_AT_ONCE, "right")) - 1)
+            own = edges[lo : hi + 1] - edges[lo]
+            at = found[of[edges[lo] : edges[hi]]]
+            at[own[:-1]] = opening[lo:hi]
+            length = self.length[at]
+            upto = np.cumsum(length, dtype=np.int64)
+            flat = self.ids[np.repeat(self.first[at] - (upto - length), length) + np.arange(upto[-1])]
+            ends = np.concatenate([[0], upto])[own].tolist()
+            yield from (flat[a:b] for a, b in pairwise(ends))
+            lo = hi
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process, kept between its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder a worker process, kept while its tasks are of one kind."""
+    return kept(path, Encoder)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +245,7 @@ def read_shards(shards: DataFrame, most_parts: int = 200_000) -> DataFrame:
     parts = max(1, min(shards.count(), most_parts))
     listed = staged(laid_out(shards), "laid")
     listed = listed.repartitionById(parts, (F.col("i") % parts).cast("int")).select("path", "base")
-    return listed.mapInArrow(wavelet.read_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(listed, wavelet.read_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def report(docs: DataFrame, settings: Settings, order: list[str] | None = None) -> DataFrame:
