@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, pairwise
+from string import punctuation
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from . import wavelet
 from .common import kept, map_batches, scratch_path, small_batches, staged
@@ -23,9 +25,20 @@ from .common import kept, map_batches, scratch_path, small_batches, staged
 #: Texts of these characters, with no two white spaces in a row, are cut before each space and line end, places
 #: that byte-level BPE of this family never merges across.  Texts that match this go to the library whole.
 ODD = r"[^\n\x20-\x7E\x{A1}-\x{17F}]|[\n ][\n ]"
-FIRST = "\x00"  # marks the first unit of a text: no space stands before it
+FIRST = "\x00"  # marks the first unit of a text, or a piece inside a unit: no space stands before it
+_PLAIN = [chr(c) for c in (10, *range(0x20, 0x7F), *range(0xA1, 0x180))]
+_KIND = {k: "".join(re.escape(c) for c in _PLAIN if category(c)[0] == k) for k in "LN"}
+#: What the library's byte-level splitter matches, for texts that ODD does not match.
+PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_KIND['L']}]+| ?[{_KIND['N']}]+| ?[^ \n{_KIND['L']}{_KIND['N']}]+|[ \n]")
+LETTERS = "".join(c for c in _PLAIN if category(c)[0] == "L")
+#: Signs that stand for bytes in the library's vocabulary.
+_SIGNS = np.arange(256, dtype="<u4")
+for _c in _PLAIN:
+    _SIGNS[list(_c.encode())] = [ord(x) for x in pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(_c)[0][0]]
+APART = "\x01"  # stands behind each piece on its way to the model
 CACHE_UNITS, CACHE_BYTES, ENCODE_BYTES = 1_500_000, 64 << 20, 10 << 20
 TABLE_UNITS, UNITS_AT_ONCE = 1 << 18, 1 << 17  # hashed at once; laid out as ids at once
+AT_ONCE = 32  # pieces merged in one call
 SHARD_TOKENS = 2_000_000
 
 
@@ -47,6 +60,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _apart(model: dict) -> str | None:
+    """A sign that no merge knows and no unit holds: pieces with it between them can be merged in one call."""
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk")):
+        return None
+    used = {chr(x) for x in _SIGNS}.union(*(m.split(" ") if isinstance(m, str) else m for m in model["merges"]))
+    return min((t for t in model["vocab"] if len(t) == 1 and t not in used), default=None)
+
+
 class Encoder:
     """The library's ids.  Merges never cross units, so each distinct unit is encoded once and kept in tables, which are
     searched one by one and emptied beyond CACHE_UNITS or CACHE_BYTES."""
@@ -57,9 +78,7 @@ class Encoder:
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
         self.by_unit = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not (spec.get("model") or {}).get("dropout")
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for t, i in vocabulary.items() if t[:1] in ("Ġ", "Ċ")]] = True
+        self.apart = _apart(spec.get("model") or {})
         self.odd = "|".join([ODD, *(re.escape(x) for x in self.special)])
         self._empty()
 
@@ -76,58 +95,100 @@ class Encoder:
     def _room(x: np.ndarray, n: int) -> np.ndarray:
         return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 5 * len(x) // 4) - len(x), x.dtype)])
 
-    def _learn(self, keys: list[str]) -> pa.Array:
-        """Units with a space or line end before them are run together: an id that opens so begins the next unit.
-        Returns the keys in the order of their places, the last ones taken."""
-        keys.sort(key=lambda k: k[:1] == FIRST)
-        joined = sum(k[:1] != FIRST for k in keys)
-        self.first, self.length = self._room(self.first, self.units + len(keys)), self._room(self.length, self.units + len(keys))
-        for at, end in [(i, min(i + 8192, joined)) for i in range(0, joined, 8192)] + [(i, i + 8192) for i in range(joined, len(keys), 8192)]:
-            part = keys[at:end]
-            if at < joined:
-                text = "".join(k if k[:1] == "\n" else " " + k for k in part if k)
-                flat = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-                length = np.diff(np.append(np.flatnonzero(self.opens[flat]), len(flat)))
-                if "" in part:  # a space that ends a text
-                    alone, i = self.library.encode(" ", add_special_tokens=False).ids, part.index("")
-                    before = int(length[:i].sum())
-                    flat, length = np.concatenate([flat[:before], alone, flat[before:]]).astype(np.uint32), np.insert(length, i, len(alone))
-            else:
-                got = [e.ids for e in self.library.encode_batch([k[1:] for k in part], add_special_tokens=False)]
-                length = np.fromiter(map(len, got), np.int64, len(got))
-                flat = np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum()))
-            n = self.units
-            if self.ids.dtype == np.uint16 and len(flat) and flat.max() > 0xFFFF:
-                self.ids = self.ids.astype(np.uint32)
-            self.ids = self._room(self.ids, self.used + len(flat))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.length[n : n + len(part)] = length
-            self.first[n : n + len(part)] = self.used + np.cumsum(length) - length
-            self.used += len(flat)
-            self.units += len(part)
-        learned = pa.array(keys, pa.string())
+    @staticmethod
+    def _pieces(key: str) -> list[str]:
+        """The unit cut as byte-level BPE cuts it before it merges; pieces are keys of units themselves."""
+        found = PIECE.findall(key[1:] if key[:1] == FIRST else key if key[:1] == "\n" else " " + key)
+        return [x[1:] if x[0] == " " else x if x == "\n" else FIRST + x for x in found] or [key]
+
+    def _add(self, n: int, flat: np.ndarray, length: np.ndarray) -> None:
+        """The ids of n more units."""
+        if self.ids.dtype == np.uint16 and len(flat) and flat.max() > 0xFFFF:
+            self.ids = self.ids.astype(np.uint32)
+        self.ids, self.first, self.length = self._room(self.ids, self.used + len(flat)), self._room(self.first, self.units + n), self._room(self.length, self.units + n)
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.length[self.units : self.units + n] = length
+        self.first[self.units : self.units + n] = self.used + np.cumsum(length) - length
+        self.used += len(flat)
+        self.units += n
+
+    def _flat(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units at these places in a row, and where each unit's end."""
+        length = self.length[at]
+        upto = np.cumsum(length, dtype=np.int64)
+        return self.ids[np.repeat(self.first[at] - (upto - length), length) + np.arange(upto[-1] if len(at) else 0)], upto
+
+    def _merged(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces in a row by the library's model, and how many each has."""
+        bare = pc.or_(pc.starts_with(pieces, FIRST), pc.equal(pieces, "\n"))
+        spaced = pc.binary_join_element_wise(pc.if_else(bare, "", " "), pieces, APART, "")
+        ends = [*range(0, len(pieces), AT_ONCE if self.apart else 1), len(pieces)]
+        signs, own = _SIGNS.copy(), self.library.token_to_id(self.apart) if self.apart else -1
+        signs[ord(APART)] = ord(self.apart or APART)
+
+        def ids() -> Iterator[int]:
+            for group in pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spaced), "").to_pylist():
+                text = signs[np.frombuffer(group.replace(FIRST, "").encode(), np.uint8)].tobytes().decode("utf-32-le")
+                if self.apart:
+                    yield from (t.id for t in self.library.model.tokenize(text))
+                else:
+                    yield from (t.id for t in self.library.model.tokenize(text[:-1])) if len(text) > 1 else ()
+                    yield own
+
+        flat = np.fromiter(ids(), np.int64)
+        between = flat == own
+        return flat[~between], np.diff(np.flatnonzero(between), prepend=-1) - 1
+
+    def _learn(self, keys: pa.Array) -> pa.Array:
+        """The library's model merges each piece once; units of several pieces take the ids of these.  Returns what was
+        added, pieces first, in the order of places."""
+        alpha = pc.utf8_is_alpha(keys)
+        rest = keys.filter(pc.invert(alpha))
+        head = pc.utf8_rtrim(rest, punctuation)
+        two = pc.utf8_is_alpha(head)
+        double, other = rest.filter(two), rest.filter(pc.invert(two)).to_pylist()
+        marks = pc.binary_join_element_wise(FIRST, pc.utf8_ltrim(double, LETTERS), "")
+        cut = [self._pieces(k) for k in other]
+        folded = pa.concat_arrays([keys.filter(alpha), head.filter(two), marks, pa.array(chain.from_iterable(cut), pa.string())]).dictionary_encode()
+        kinds, of = folded.dictionary, folded.indices.to_numpy()
+        place = self._places(kinds, self.tables)
+        new = kinds.filter(pa.array(place < 0))
+        place[place < 0] = self.units + np.arange(len(new))
+        for i in range(0, len(new), 8192):
+            part = new.slice(i, 8192)
+            self._add(len(part), *self._merged(part))
+        lo, n = len(keys) - len(rest), len(double)
+        many = np.fromiter((len(c) for c in cut), np.int64, len(cut))
+        pairs, loose = place[of[lo : lo + 2 * n]].reshape(2, n).T.ravel(), place[of[lo + 2 * n :]][np.repeat(many > 1, many)]
+        flat, upto = self._flat(np.concatenate([pairs, loose]))
+        ends = upto[np.cumsum(np.concatenate([np.full(n, 2), many[many > 1]])) - 1]
+        self._add(len(ends), flat, np.diff(ends, prepend=0))
+        learned = pa.concat_arrays([new, double, pa.array((k for k, c in zip(other, cut, strict=True) if len(c) > 1), pa.string())])
         if self.tables and len(self.tables[-1]) + len(learned) <= TABLE_UNITS:
             self.tables[-1] = pa.concat_arrays([self.tables[-1], learned])
         else:
             self.tables.append(learned)
         return learned
 
-    def _find(self, keys: pa.Array) -> np.ndarray:
-        """Places of the keys in the tables; new ones are learned at the end.  One table is hashed at a time."""
-        out, left, base = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
-
-        def seek(table: pa.Array) -> None:
-            nonlocal keys, left
+    @staticmethod
+    def _places(keys: pa.Array, tables: list[pa.Array], base: int = 0) -> np.ndarray:
+        """Places of the keys in tables that begin at ``base``, -1 for those in none.  One table is hashed at a time."""
+        out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        for table in tables:
+            if not len(left):
+                break
             at = pc.index_in(keys, value_set=table)
             known = at.is_valid().to_numpy(zero_copy_only=False)
             out[left[known]] = base + at.drop_null().to_numpy()
-            keys, left = keys.filter(at.is_null()), left[~known]
+            keys, left, base = keys.filter(at.is_null()), left[~known], base + len(table)
+        return out
 
-        for table in self.tables:
-            seek(table)
-            base += len(table)
-        if len(left):
-            seek(self._learn(pc.unique(keys).to_pylist()))
+    def _find(self, keys: pa.Array) -> np.ndarray:
+        """Places of the keys in the tables; new ones are learned at the end."""
+        out, base = self._places(keys, self.tables), self.units
+        if len(left := np.flatnonzero(out < 0)):
+            keys = keys.take(pa.array(left))
+            out[left] = self._places(keys, [self._learn(pc.unique(keys))], base)
         return out
 
     def __call__(self, text: str) -> np.ndarray:
@@ -155,9 +216,7 @@ class Encoder:
             own = edges[lo : hi + 1] - edges[lo]
             at = found[of[edges[lo] : edges[hi]]]
             at[own[:-1]] = opening[lo:hi]
-            length = self.length[at]
-            upto = np.cumsum(length, dtype=np.int64)
-            flat = self.ids[np.repeat(self.first[at] - (upto - length), length) + np.arange(upto[-1])]
+            flat, upto = self._flat(at)
             ends = np.concatenate([[0], upto])[own].tolist()
             yield from (flat[a:b] for a, b in pairwise(ends))
             lo = hi

@@ -21,6 +21,30 @@ from pyarrow import fs as pafs
 
 MAGIC = b"CWWM0001"
 CHUNK_BITS = 1 << 18
+STEP = 1 << 16  # places sorted at once
+
+
+def _sorted(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The ids whose bit is 0, then the others, each in their order."""
+    out, lo = np.empty_like(ids), 0
+    hi = len(ids) - int(np.count_nonzero(bits))
+    for a in range(0, len(ids), STEP):
+        part, ones = ids[a : a + STEP], np.flatnonzero(bits[a : a + STEP])
+        zeros = np.flatnonzero(~bits[a : a + STEP])
+        np.take(part, zeros, out=out[lo : lo + len(zeros)], mode="clip")
+        np.take(part, ones, out=out[hi : hi + len(ones)], mode="clip")
+        lo, hi = lo + len(zeros), hi + len(ones)
+    return out
+
+
+def _unsorted(ids: np.ndarray, bits: np.ndarray, n_zeros: int) -> np.ndarray:
+    """Undoes ``_sorted``."""
+    out, lo, hi = np.empty_like(ids), 0, n_zeros
+    for a in range(0, len(ids), STEP):
+        part, ones, zeros = out[a : a + STEP], np.flatnonzero(bits[a : a + STEP]), np.flatnonzero(~bits[a : a + STEP])
+        part[zeros], part[ones] = ids[lo : lo + len(zeros)], ids[hi : hi + len(ones)]
+        lo, hi = lo + len(zeros), hi + len(ones)
+    return out
 
 
 class Planes:
@@ -104,11 +128,8 @@ class Planes:
         kind = np.uint16 if self.width <= 16 else np.uint32
         ids = np.zeros(self.n, kind)
         for p in reversed(range(self.width)):
-            bits = self.plane(p).view(bool)
-            out = np.empty_like(ids)
-            out[~bits] = ids[: self.zeros[p]]
-            out[bits] = ids[self.zeros[p] :] | kind(1 << (self.width - 1 - p))
-            ids = out
+            ids[self.zeros[p] :] |= kind(1 << (self.width - 1 - p))
+            ids = _unsorted(ids, self.plane(p).view(bool), self.zeros[p])
         return ids
 
 
@@ -120,8 +141,7 @@ def encode(ids: np.ndarray, documents: list[tuple[int | None, int]]) -> bytes:
         ids = ids.astype(np.uint16)
     zeros, directory, body, at = [], [], [], 0
     for p in range(width):
-        bits = (ids >> ids.dtype.type(width - 1 - p)) & ids.dtype.type(1)
-        is_one, ones, row = bits.astype(bool), 0, []
+        is_one, ones, row = (ids & ids.dtype.type(1 << (width - 1 - p))) != 0, 0, []
         packed = np.packbits(is_one)
         for c in range(0, n, CHUNK_BITS):
             raw = packed[c // 8 : (c + CHUNK_BITS) // 8]
@@ -131,7 +151,7 @@ def encode(ids: np.ndarray, documents: list[tuple[int | None, int]]) -> bytes:
             at, ones = at + len(data), ones + int(np.bitwise_count(raw).sum())
         zeros.append(n - ones)
         directory.append(row)
-        ids = np.concatenate([ids[~is_one], ids[is_one]])
+        ids = _sorted(ids, is_one)
     head = zlib.compress(json.dumps({"n": n, "width": width, "zeros": zeros, "chunks": directory, "docs": documents}).encode(), 1)
     data = b"".join(body)
     return MAGIC + struct.pack("<QQI", len(head), len(data), zlib.crc32(head + data)) + head + data
